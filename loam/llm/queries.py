@@ -18,8 +18,8 @@ QUERIES = {
 }
 
 _NGRAMS = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^0-9a-z\x{80}-\x{10FFFF}]+'), x -> x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), i -> array_to_string(ws[i:i + 2], ' ')) ELSE [array_to_string(ws, ' ')] END)) AS s FROM w WHERE len(ws) > 0),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) ELSE [array_to_string(ws, ' ')] END)) AS s FROM w WHERE len(ws) > 0),
 one AS (SELECT s, min(doc_id) AS doc_id FROM g GROUP BY s),
 t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM one),
 near AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS jaccard FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
