@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from itertools import chain
 
 import numpy as np
 import regex
@@ -125,111 +126,130 @@ class Merges:
         return [x for x in ids if x >= 0]
 
 
+class _Places(dict):
+    def __missing__(self, key):
+        return -1
+
+
 class Pieces:
-    """The distinct pieces of texts and what `work` made of them.
+    """The ids of texts, by way of their distinct pieces.
 
-    work takes a list of pieces and returns a list of as many results. The memory is
-    emptied when it holds more than `most` pieces, so that a worker's memory stays bounded;
-    this changes the speed alone.
+    merge takes a list of words (bytes) that are no tokens themselves and returns their ids
+    in a row and where each word's begin. What is known is dropped when it holds more than
+    `most` pieces, so that a worker's memory stays bounded; this changes the speed alone.
     """
 
     SPLIT = regex.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, work, most: int = 250_000):
-        self.work, self.most = work, most
-        self.first, self.later = {}, {}
-
-    def _learn(self, pieces: set[str], known: dict, lead: str) -> None:
-        new = [p for p in pieces if p not in known]
-        safe = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        if len(safe) < len(new):
-            known.update(dict.fromkeys(new))
-        known.update(zip(safe, self.work([lead + p for p in safe])))
-
-    def of(self, texts: list[str]) -> list[list]:
-        """For each text the results of its pieces, in order."""
-        if len(self.later) > self.most:
-            self.later.clear()
-        if len(self.first) > self.most:
-            self.first.clear()
-        cut = [t.split(" ") for t in texts]
-        distinct: set[str] = set()
-        for pieces in cut:
-            distinct.update(pieces)
-        self._learn(distinct - self.later.keys(), self.later, " ")
-        self._learn({pieces[0] for pieces in cut} - self.first.keys(), self.first, "")
-        later, out, hard = self.later, [], []
-        for i, pieces in enumerate(cut):
-            got = list(map(later.__getitem__, pieces))
-            got[0] = self.first[pieces[0]]
-            if None in got:
-                hard.append(i)
-            out.append(got)
-        for i in hard:  # white space beside a space: such places aren't cut
-            if texts[i] == "":
-                out[i] = []
-                continue
+    def __init__(self, ranks: dict[bytes, int], merge, pattern: str = PATTERN, most: int = 500_000):
+        self.ranks, self.merge, self.most = ranks, merge, most
+        self.find = regex.compile(pattern).findall
+        self._clear()
+
+    def _clear(self) -> None:
+        self.first, self.later = _Places(), _Places()
+        self.flat, self.used = np.empty(1 << 16, np.int32), 0
+        self.start, self.size, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """The places of new pieces."""
+        cut = [self.find(p) for p in pieces]
+        order: dict[str, int] = {}
+        which = np.array([order.setdefault(w, len(order)) for ws in cut for w in ws], np.int64)
+        raw = [w.encode("utf-8", "surrogatepass") for w in order]
+        whole = np.array([self.ranks.get(w, -1) for w in raw], np.int64)
+        parts = np.flatnonzero(whole < 0)
+        ids, starts = self.merge([raw[i] for i in parts])
+        size = np.ones(len(raw), np.int64)
+        size[parts] = np.diff(starts)
+        start = np.zeros(len(raw), np.int64)
+        start[whole >= 0] = np.arange(len(raw) - len(parts)) + len(ids)
+        start[parts] = starts[:-1]
+        pool = np.concatenate([ids, whole[whole >= 0].astype(np.int32)])
+        n_words = np.array([len(ws) for ws in cut], np.int64)
+        flat = gather(pool, start[which], size[which])
+        piece_size = np.add.reduceat(np.append(size[which], 0), np.cumsum(n_words) - n_words) if len(pieces) else np.empty(0, np.int64)
+        piece_size[n_words == 0] = 0
+        return self._store(flat, piece_size)
+
+    def _store(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.n + len(size) > len(self.size):
+            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(flat)] = flat
+        at = np.arange(self.n, self.n + len(size))
+        self.start[at], self.size[at] = np.cumsum(size) - size + self.used, size
+        self.used, self.n = self.used + len(flat), self.n + len(size)
+        return at
+
+    def _places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all pieces of the texts in a row and how many each text has."""
+        if self.n > self.most:
+            self._clear()
+        cut = [t.split(" ") if t else [] for t in texts]
+        n = np.array(list(map(len, cut)), np.int64)
+        total = int(n.sum())
+        begin = (np.cumsum(n) - n)[n > 0]
+        places = np.fromiter(map(self.later.__getitem__, chain.from_iterable(cut)), np.int64, total)
+        heads = [c[0] for c in cut if c]
+        places[begin] = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
+        missing = np.flatnonzero(places == -1)
+        if len(missing):
+            flat = list(chain.from_iterable(cut))
+            at_first = np.zeros(total, bool)
+            at_first[begin] = True
+            for known, lead, at in ((self.first, "", missing[at_first[missing]]), (self.later, " ", missing[~at_first[missing]])):
+                new = list(dict.fromkeys(map(flat.__getitem__, at)))
+                safe = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+                if len(safe) < len(new):
+                    known.update(dict.fromkeys(new, -2))
+                known.update(zip(safe, self._learn([lead + p for p in safe]).tolist()))
+                places[at] = np.fromiter(map(known.__getitem__, map(flat.__getitem__, at)), np.int64, len(at))
+        hard = np.flatnonzero(places == -2)
+        if not len(hard):
+            return places, n
+        # white space beside a space: such places aren't cut
+        text_of = np.repeat(np.arange(len(texts)), n)
+        runs = {}
+        for i in np.unique(text_of[hard]).tolist():
             head, *rest = self.SPLIT.split(texts[i])
-            odd = [head, *(" " + p for p in dict.fromkeys(rest))]
-            made = dict(zip(odd, self.work(odd)))
-            out[i] = [made[head], *(made[" " + p] for p in rest)]
-        return out
-
-
-def piece_ids(merges: Merges, pattern: str = PATTERN):
-    """The work of Pieces that returns the ids of each piece as a numpy array."""
-    find = regex.compile(pattern).findall
-    known = merges.ranks
-
-    def work(pieces: list[str]) -> list[np.ndarray]:
-        cut = [find(p) for p in pieces]
-        words = {w: None for ws in cut for w in ws}
-        order = {w: i for i, w in enumerate(words)}
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        ids, start = merges.symbols(raw)
-        for i, w in enumerate(raw):  # a word that is a token is never merged
-            if start[i + 1] - start[i] > 1 and w in known:
-                return _with_whole(merges, raw, ids, start, cut, order)
-        return [_join(ids, start, ws, order) for ws in cut]
-
-    return work
-
-
-def _with_whole(merges, raw, ids, start, cut, order):
-    parts = [np.array([merges.ranks[w]], np.int32) if w in merges.ranks else ids[start[i] : start[i + 1]] for i, w in enumerate(raw)]
-    return [parts[order[ws[0]]] if len(ws) == 1 else np.concatenate([parts[order[w]] for w in ws]) for ws in cut]
-
-
-def _join(ids, start, ws, order):
-    if len(ws) == 1:
-        i = order[ws[0]]
-        return ids[start[i] : start[i + 1]]
-    return np.concatenate([ids[start[i] : start[i + 1]] for i in (order[w] for w in ws)])
-
-
-def piece_counts(merges: Merges, pattern: str = PATTERN):
-    """The work of Pieces that returns only how many ids each piece has."""
-    find = regex.compile(pattern).findall
-    known = merges.ranks
-
-    def work(pieces: list[str]) -> list[int]:
-        cut = [find(p) for p in pieces]
-        words = list({w: None for ws in cut for w in ws})
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        n = dict(zip(words, np.diff(merges.symbols(raw)[1]).tolist()))
-        n.update({w: 1 for w, r in zip(words, raw) if r in known})
-        return [n[ws[0]] if len(ws) == 1 else sum(map(n.__getitem__, ws)) for ws in cut]
-
-    return work
+            pieces = [head, *(" " + p for p in rest)]
+            new = list(dict.fromkeys(pieces))
+            at = dict(zip(new, self._learn(new).tolist()))
+            runs[i] = np.array([at[p] for p in pieces], np.int64)
+        ends = np.cumsum(n)
+        parts = [runs[i] if i in runs else places[ends[i] - n[i] : ends[i]] for i in range(len(texts))]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """How many ids each text has."""
+        places, n = self._places(texts)
+        sums = np.append(0, np.cumsum(self.size[places]))
+        ends = np.cumsum(n)
+        return sums[ends] - sums[ends - n]
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row and how many each has."""
+        places, n = self._places(texts)
+        size = self.size[places]
+        sums = np.append(0, np.cumsum(size))
+        ends = np.cumsum(n)
+        return gather(self.flat, self.start[places], size), sums[ends] - sums[ends - n]
+
+
+def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of the pool that begin at start, one after another."""
+    ends = np.cumsum(size)
+    return pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)]
 
 
 _held: dict = {}
 
 
-def held_pieces(path: str, kind) -> Pieces:
-    """One Pieces of a kind and vocabulary file for all tasks of a worker process."""
-    if (path, kind) not in _held:
-        if path not in _held:
-            _held[path] = Merges(load_ranks(path))
-        _held[path, kind] = Pieces(kind(_held[path]))
-    return _held[path, kind]
+def held_pieces(path: str) -> Pieces:
+    """One Pieces of a vocabulary file for all tasks of a worker process, with rank-synchronous merging."""
+    if path not in _held:
+        merges = Merges(load_ranks(path))
+        _held[path] = Pieces(merges.ranks, merges.symbols)
+    return _held[path]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.bpe import held_pieces, piece_counts
+from loam.llm.bpe import held_pieces
 from loam.llm.common import WORD_VOCABULARY, pick, slices, strings
 
 
@@ -21,15 +22,12 @@ def token_count(text: Column, vocabulary: str = WORD_VOCABULARY) -> Column:
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = held_pieces(vocabulary, piece_counts)
+        pieces = held_pieces(vocabulary)
         for batch in batches:
             texts = strings(batch)
-            counts: list[int | None] = []
-            for start, end in slices(texts):
-                run = texts[start:end]
-                found = iter(pieces.of([t for t in run if t is not None]))
-                counts += [None if t is None else sum(next(found)) for t in run]
-            yield pd.Series(counts, dtype="Int64")
+            found = [pieces.counts([t or "" for t in texts[a:b]]) for a, b in slices(texts)]
+            counts = np.concatenate([np.empty(0, np.int64), *found])
+            yield pd.Series(pd.arrays.IntegerArray(counts, np.array([t is None for t in texts], bool)))
 
     return count(text)
 
