@@ -58,7 +58,7 @@ class Merges:
         """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         long = np.flatnonzero(sizes > LONG)
-        found = [(np.array([i]), np.array(self._by_heap(words[i]), np.int32)) for i in long]
+        found = [(np.array([i]), np.array(self.by_heap(words[i]), np.int32)) for i in long]
         lengths = sizes.copy()
         lengths[long] = [len(ids) for _, ids in found]
         which = np.flatnonzero((sizes > 0) & (sizes <= LONG))
@@ -104,7 +104,7 @@ class Merges:
             out[np.arange(len(ids)) + np.repeat(starts[words_at] - (np.cumsum(n) - n), n)] = ids
         return out, np.append(starts, len(out))
 
-    def _by_heap(self, word: bytes) -> list[int]:
+    def by_heap(self, word: bytes) -> list[int]:
         """The same merges for a long word: a heap of pairs over a linked list."""
         ids = [int(self.of_byte[b]) for b in word]
         n = len(ids)

@@ -61,7 +61,9 @@ class DuckBpe:
             some = np.arange(a, min(len(words), a + self.words_at_once))
             long = some[sizes[some] > LONG]
             short = some[sizes[some] <= LONG]
-            w, t = [np.repeat(long, [len(x) for x in (heap := [self.table._by_heap(words[i]) for i in long])])], [np.array([i for x in heap for i in x], np.int32)]
+            heap = [self.table.by_heap(words[i]) for i in long]
+            w = [np.repeat(long, np.array(list(map(len, heap)), np.int64))]
+            t = [np.array([i for x in heap for i in x], np.int32)]
             if len(short):
                 n = sizes[short]
                 at = np.repeat(short, n)

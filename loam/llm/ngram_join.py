@@ -12,8 +12,9 @@ each candidate pair is verified once.
     n-grams of its own has no partner and ends here. This takes most documents out.
 4.  Documents with equal n-gram sets are joined on a fingerprint of the set, and one of
     them stands for all.
-5.  The others' prefix n-grams are the join key. Pairs are dropped by the length and the
-    positional filter, and gathered once per pair.
+5.  The others' prefix n-grams are the join key. The list of rows of an n-gram goes on to
+    where the other lists with the same first row go, as near copies share most lists: there
+    pairs pass the length and the positional filter, and are known once.
 6.  Token lists meet at the home of a pair's first document: a min-hash, so that lists of
     near copies mostly live together and each is sent once per home, not once per pair.
     There the suffix filter and then the exact count decide.
@@ -35,10 +36,11 @@ from loam.llm.common import pick, written
 
 HASH_BITS = 56
 RANK_BITS = 27
-CHUNK_NGRAMS = 2_000_000
+CHUNK_NGRAMS = 1_500_000
 CHUNK_DOCS = 60_000
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
 HOME_DOCS = 1024
+ROUTE_DOCS = 2048
 
 
 def pack(values: np.ndarray, extra: bytes = b"") -> bytes:
@@ -231,23 +233,53 @@ def _postings(threshold: float):
     return run
 
 
-CANDIDATES = "row_a long, row_b long, home_a int, home_b int, pos_a int, pos_b int"
+def _meet(routes: int, most: int = 500_000):
+    """Each n-gram's list of rows, sent to where its first row's other lists go: near copies share most lists, so that their pairs meet in one place."""
+
+    def flush(columns):
+        token, row, size, pos, home = columns
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        n = np.diff(np.append(start, len(token)))
+        lead = np.repeat(np.where(n > 1, (mix(np.minimum.reduceat(row, start).astype(np.uint64)) % np.uint64(routes)).astype(np.int64), -1), n)
+        order = np.argsort(lead, kind="stable")
+        order = order[np.searchsorted(lead[order], 0) :]
+        if not len(order):
+            return
+        lead = lead[order]
+        cuts = np.append(np.flatnonzero(np.append(True, lead[1:] != lead[:-1])), len(lead))
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            at = order[a:b]
+            raw = b"".join(x.tobytes() for x in (token[at], row[at], size[at].astype(np.int32), pos[at].astype(np.int32), home[at].astype(np.int32)))
+            rows.append((int(lead[a]), 0, zstandard.ZstdCompressor(level=1).compress(raw)))
+        yield _routed(rows)
 
+    def run(batches):
+        carry: list[list[np.ndarray]] = []
+        held = 0
+        for last, batch in _with_last(batches):
+            carry.append([c.to_numpy() for c in batch.columns])
+            held += batch.num_rows
+            if last or held >= most:
+                now = [np.concatenate(x) for x in zip(*carry)]
+                cut = len(now[0]) if last else int(np.searchsorted(now[0], now[0][-1]))
+                if cut:
+                    yield from flush([c[:cut] for c in now])
+                carry = [[c[cut:] for c in now]]
+                held = len(now[0]) - cut
 
-def _once(found: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Each pair once, with its lowest positions."""
-    columns = [np.concatenate(x) for x in zip(*found)]
-    order = np.lexsort((columns[4], columns[1], columns[0]))
-    columns = [c[order] for c in columns]
-    new = np.append(True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
-    return [c[new] for c in columns]
+    return run
 
 
-def _candidates(threshold: float, most: int = 3_000_000):
-    """Pairs of rows that share a prefix n-gram and pass the length and positional filters."""
+CANDIDATES = "row_a long, row_b long, home_a int, home_b int, pos_a int"
+_POS = 22
+
+
+def _candidates(threshold: float, most: int = 4_000_000):
+    """Pairs of rows that share a prefix n-gram and pass the length and positional filters, each once, with the first one's lowest shared position."""
     share = threshold / (1 + threshold)
 
-    def pairs(token, row, size, pos, home):
+    def pairs(token, size, pos):
         i = np.arange(len(token))
         for d in range(1, len(token)):
             i = i[: np.searchsorted(i, len(token) - d)]
@@ -257,35 +289,49 @@ def _candidates(threshold: float, most: int = 3_000_000):
                 return
             j = i + d
             need = np.ceil(share * (size[i] + size[j]) - 1e-9)
-            ok = 1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= need
-            a, b = i[ok], j[ok]
-            yield [row[a], row[b], home[a], home[b], pos[a], pos[b]]
+            ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
+            yield i[ok], j[ok]
 
-    def out(found):
-        columns = _once(found)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in CANDIDATES.split(", ")])
+    def once(keys):
+        keys = np.sort(np.concatenate(keys))
+        pair = keys >> _POS
+        return keys[np.append(True, pair[1:] != pair[:-1])] if len(keys) else keys
 
     def run(batches):
-        carry, found, held = None, [], 0
-        for last, batch in _with_last(batches):
-            now = [c.to_numpy() for c in batch.columns]
-            if carry is not None:
-                now = [np.concatenate(x) for x in zip(carry, now)]
-            cut = len(now[0]) if last else int(np.searchsorted(now[0], now[0][-1]))
-            carry = [c[cut:] for c in now]
-            for got in pairs(*(c[:cut] for c in now)):
-                found.append(got)
-                held += len(got[0])
+        for _, rows in _grouped(batches, 0):
+            parts: list[list[np.ndarray]] = [[], [], [], [], []]
+            for _, _, blob in rows:
+                raw = zstandard.ZstdDecompressor().decompress(blob)
+                n, at = len(raw) // 28, 0
+                for part, kind in zip(parts, (np.int64, np.int64, np.int32, np.int32, np.int32)):
+                    part.append(np.frombuffer(raw, kind, n, at))
+                    at += n * np.dtype(kind).itemsize
+            token, row, size, pos, home = (np.concatenate(x) for x in parts)
+            del parts
+            order = np.lexsort((row, size, token))
+            token, size, pos = token[order], size[order].astype(np.int64), pos[order].astype(np.int64)
+            whole, first, local = np.unique(row, return_index=True, return_inverse=True)
+            home = home[first]
+            local = local[order]
+            width = len(whole)
+            found, held = [], 0
+            for a, b in pairs(token, size, pos):
+                found.append((local[a] * width + local[b]) << _POS | np.minimum(pos[a], 2**_POS - 1))
+                held += len(a)
                 if held >= most:
-                    merged = _once(found)
-                    held = len(merged[0])
-                    if held >= most // 2:
-                        yield out([merged])
-                        found, held = [], 0
-                    else:
-                        found = [merged]
-        if held:
-            yield out(found)
+                    found = [once(found)]
+                    held = len(found[0]) if len(found[0]) < most // 2 else 0
+                    if not held:  # mostly distinct pairs: hand them on; what comes twice is gathered afterwards
+                        yield from out(found.pop(), whole, home, width)
+            if found:
+                yield from out(once(found), whole, home, width)
+
+    def out(keys, whole, home, width):
+        pair = keys >> _POS
+        a, b = pair // width, pair % width
+        for k in range(0, len(keys), 500_000):
+            x, y = a[k : k + 500_000], b[k : k + 500_000]
+            yield pa.RecordBatch.from_arrays([pa.array(whole[x]), pa.array(whole[y]), pa.array(home[x]), pa.array(home[y]), pa.array((keys[k : k + 500_000] & (2**_POS - 1)).astype(np.int32))], ["row_a", "row_b", "home_a", "home_b", "pos_a"])
 
     return run
 
@@ -316,10 +362,11 @@ def _verify(threshold: float):
     def run(pairs: pa.Table, lists: pa.Table) -> pa.Table:
         tokens = {row: (i, n, unpack(blob)[0]) for row, i, n, blob in zip(*(lists.column(c).to_pylist() for c in ("row", "doc_id", "size", "tokens")))}
         got: list[tuple[int, int, float]] = []
-        for a, b, i, j in zip(*(pairs.column(c).to_pylist() for c in ("row_a", "row_b", "pos_a", "pos_b"))):
+        for a, b, i in zip(*(pairs.column(c).to_pylist() for c in ("row_a", "row_b", "pos_a"))):
             (id_a, n, x), (id_b, m, y) = tokens[a], tokens[b]
             need = int(np.ceil(share * (n + m) - 1e-9))
-            i, j = i - (n - len(x)), j - (m - len(y))
+            i = max(0, i - (n - len(x)))
+            j = int(np.searchsorted(y, x[i]))
             if suffix_bound(x[i:], y[j:]) < need:
                 continue
             both = np.concatenate((x[i:], y[j:]))
@@ -371,8 +418,9 @@ def ngram_jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_
     alike = lists.select("mark1", "mark2", "doc_id").join(first, ["mark1", "mark2"]).select(F.col("first.doc_id").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard")).where("doc_id_a < doc_id_b")
     single = written(lists.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select("row", "doc_id", "size", "home", "tokens"))
     postings = single.select("row", "size", "home", "tokens").mapInArrow(_postings(threshold), POSTINGS)
-    found = postings.repartition("token").sortWithinPartitions("token", "size", "row").mapInArrow(_candidates(threshold), CANDIDATES)
-    pairs = written(found.groupBy("row_a", "row_b").agg(F.first("home_a").alias("home_a"), F.first("home_b").alias("home_b"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")))
+    together = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(max(16, rows // ROUTE_DOCS)), ROUTED)
+    found = together.repartition("route").sortWithinPartitions("route").mapInArrow(_candidates(threshold), CANDIDATES)
+    pairs = written(found.groupBy("row_a", "row_b").agg(F.first("home_a").alias("home_a"), F.first("home_b").alias("home_b"), F.min("pos_a").alias("pos_a")))
     guests = pairs.where("home_a <> home_b").select(F.col("row_b").alias("row"), F.col("home_a").alias("at")).distinct()
     there = single.select(F.col("home").alias("at"), "row", "doc_id", "size", "tokens").unionByName(single.drop("home").join(guests, "row").select("at", "row", "doc_id", "size", "tokens"))
     near = pairs.groupBy(F.col("home_a").alias("at")).cogroup(there.groupBy("at")).applyInArrow(_verify(threshold), PAIRS)
