@@ -16,18 +16,18 @@ from loam.llm.arrays import runs
 from loam.llm.bpe import LONG, Merges, Pieces, load_ranks
 from loam.llm.common import WORD_VOCABULARY, pick, quoted
 
+#: k: 256 times the word plus the token's first byte in it; n: the same of the next token.
 _CONTRACT = """
-WITH RECURSIVE s(k, w, p, t) AS (
-  SELECT 0, w, p, t FROM seed
+WITH RECURSIVE s(i, k, n, t) AS (
+  SELECT 0, k, n, t FROM seed
   UNION ALL
-  SELECT k + 1, w, p, CASE WHEN p = best & 4294967295 THEN (best >> 32)::INTEGER ELSE t END
-  FROM (
-    SELECT k, w, p, t, before, min(r::BIGINT << 32 | p) OVER (PARTITION BY w) AS best
-    FROM (SELECT k, w, p, t, lead(t) OVER o AS t2, lag(p) OVER o AS before FROM s WINDOW o AS (PARTITION BY w ORDER BY p)) l
-    LEFT JOIN merges m ON l.t = m.a AND l.t2 = m.b)
-  WHERE best IS NOT NULL AND before IS DISTINCT FROM best & 4294967295
+  SELECT i + 1, s.k, CASE WHEN s.k = best & 1099511627775 THEN n2 ELSE s.n END, CASE WHEN s.k = best & 1099511627775 THEN (best >> 40)::INTEGER ELSE t END
+  FROM s JOIN (
+    SELECT a.k >> 8 AS w, min(m.r::BIGINT << 40 | a.k) AS best, arg_min(a.n, m.r::BIGINT << 40 | a.k) AS n1, arg_min(b.n, m.r::BIGINT << 40 | a.k) AS n2
+    FROM s a JOIN s b ON a.n = b.k JOIN merges m ON m.a = a.t AND m.b = b.t GROUP BY 1) c ON s.k >> 8 = c.w
+  WHERE s.k <> n1
 )
-SELECT s.w, s.t FROM s JOIN (SELECT w, max(k) AS k FROM s GROUP BY w) USING (w, k) ORDER BY s.w, s.p
+SELECT s.k >> 8 AS w, s.t FROM s JOIN (SELECT k >> 8 AS w, max(i) AS i FROM s GROUP BY 1) f ON s.k >> 8 = f.w AND s.i = f.i ORDER BY s.k
 """
 
 _DECODE = "SELECT d, string_agg(v.s, '' ORDER BY p) AS s FROM ids JOIN vocabulary v USING (t) GROUP BY d ORDER BY d"
@@ -36,7 +36,7 @@ _DECODE = "SELECT d, string_agg(v.s, '' ORDER BY p) AS s FROM ids JOIN vocabular
 class DuckBpe:
     """A vocabulary in an in-memory DuckDB of one thread."""
 
-    def __init__(self, path: str, words_at_once: int = 20_000):
+    def __init__(self, path: str, words_at_once: int = 60_000):
         self.table = Merges(load_ranks(path))
         self.words_at_once = words_at_once
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
@@ -52,22 +52,25 @@ class DuckBpe:
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and where each word's begin (one more at the end).
 
-        Words of more than LONG bytes take as many rounds over as many rows: those are merged
+        Words of LONG bytes or more take as many rounds over as many rows: those are merged
         pair by pair on a heap instead, with the same result.
         """
         sizes = np.array([len(w) for w in words], np.int64)
         found, counts = [], np.zeros(len(words), np.int64)
         for a in range(0, len(words), self.words_at_once):
             some = np.arange(a, min(len(words), a + self.words_at_once))
-            long = some[sizes[some] > LONG]
-            short = some[sizes[some] <= LONG]
+            long = some[sizes[some] > LONG - 1]
+            short = some[sizes[some] <= LONG - 1]
             heap = [self.table.by_heap(words[i]) for i in long]
             w = [np.repeat(long, np.array(list(map(len, heap)), np.int64))]
             t = [np.array([i for x in heap for i in x], np.int32)]
             if len(short):
                 n = sizes[short]
-                at = np.repeat(short, n)
-                seed = pa.table({"w": at.astype(np.int32), "p": (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "t": self.table.of_byte[np.frombuffer(b"".join([words[i] for i in short]), np.uint8)]})
+                at = np.repeat(short * 256 - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                last = np.cumsum(n) - 1
+                after = at + 1
+                after[last] = -1  # no token begins there
+                seed = pa.table({"k": at, "n": after, "t": self.table.of_byte[np.frombuffer(b"".join([words[i] for i in short]), np.uint8)]})
                 self.db.register("seed", seed)
                 got = self.db.execute(_CONTRACT).fetchnumpy()
                 self.db.unregister("seed")

@@ -138,13 +138,39 @@ def decide(filters: LanguageFilters, hits: np.ndarray, total: np.ndarray, min_sh
     return np.where((total > 0) & (top >= min_share) & (top - rest.max(axis=1) >= min_lead), best, -1), top
 
 
-def identify_language(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text", min_share: float = 0.15, min_lead: float = 0.05) -> DataFrame:
-    """(doc_id, language, share, n_grams) of every row.
+def _judge(filters: LanguageFilters, column: pa.Array, min_share: float, min_lead: float, min_grams: int):
+    """The language's index, corrected share and number of n-grams of each text, and whether it is kept."""
+    data, offsets = utf8(column, lower=True)
+    who, shares, totals = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)]
+    for first, end in runs(offsets):
+        hits, total = language_counts(filters, *sliced(data, offsets, first, end))
+        best, share = decide(filters, hits, total, min_share, min_lead)
+        who.append(best)
+        shares.append(share)
+        totals.append(total)
+    share, total = np.concatenate(shares), np.concatenate(totals)
+    return np.concatenate(who), share, total, ((share >= min_share) | (total < min_grams)) & np.asarray(column.is_valid())
+
+
+def keep_known_languages(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", min_share: float = 0.15, min_grams: int = 20) -> DataFrame:
+    """The rows that identify_language keeps, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_judge(filters, batch.column(at), min_share, 0.0, min_grams)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def identify_language(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text", min_share: float = 0.15, min_lead: float = 0.05, min_grams: int = 20) -> DataFrame:
+    """(doc_id, language, share, n_grams, keep) of every row.
 
     share is the corrected share of the text's n-grams that the language contains. A text is
     'und' where no language has min_share of them or the best leads by less than min_lead:
     NULL and empty texts and texts too short for an n-gram have share 0 and are 'und', and
-    so is a tie. Equal rows get equal results; an empty table gives an empty one; other
+    so is a tie. keep is false for NULL texts and where of at least min_grams n-grams no
+    language has min_share: a text too short to tell, or one of two languages, is kept. Equal rows get equal results; an empty table gives an empty one; other
     columns are left out.
     """
     names = np.array([*filters.languages, UNKNOWN], object)
@@ -152,14 +178,7 @@ def identify_language(docs: DataFrame, filters: LanguageFilters, id_col: str = "
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(1), lower=True)
-            who, shares, totals = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)]
-            for first, end in runs(offsets):
-                hits, total = language_counts(filters, *sliced(data, offsets, first, end))
-                best, share = decide(filters, hits, total, min_share, min_lead)
-                who.append(best)
-                shares.append(share)
-                totals.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[np.concatenate(who)], pa.string()), pa.array(np.concatenate(shares)), pa.array(np.concatenate(totals))], ["doc_id", "language", "share", "n_grams"])
-
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, language string, share double, n_grams long")
+            best, share, total, keep = _judge(filters, batch.column(1), min_share, min_lead, min_grams)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(share), pa.array(total), pa.array(keep)], ["doc_id", "language", "share", "n_grams", "keep"])
+
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, language string, share double, n_grams long, keep boolean")

@@ -425,3 +425,32 @@ def ngram_jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_
     there = single.select(F.col("home").alias("at"), "row", "doc_id", "size", "tokens").unionByName(single.drop("home").join(guests, "row").select("at", "row", "doc_id", "size", "tokens"))
     near = pairs.groupBy(F.col("home_a").alias("at")).cogroup(there.groupBy("at")).applyInArrow(_verify(threshold), PAIRS)
     return near.unionByName(alike).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def groups(pairs: DataFrame) -> DataFrame:
+    """(doc_id, first): every document of the pairs with the lowest id of its connected component.
+
+    Each round, a node takes the lowest label among its own and its neighbours' and then its
+    label's label, so that chains shorten by half; rounds are written tables.
+    """
+    edges = written(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).unionByName(pairs.select(F.col("doc_id_b").alias("a"), F.col("doc_id_a").alias("b"))))
+    labels = written(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("first")))
+    while True:
+        near = edges.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("first").alias("low"))
+        low = labels.join(near, "doc_id").select("doc_id", "first", F.least("first", "low").alias("low"))
+        jump = labels.select(F.col("doc_id").alias("low"), F.col("first").alias("further"))
+        now = written(low.join(jump, "low", "left").select("doc_id", "first", F.least("low", F.coalesce("further", "low")).alias("now")))
+        changed = now.where("now <> first").limit(1).count()
+        labels = now.select("doc_id", F.col("now").alias("first"))
+        if not changed:
+            return labels
+
+
+def keep_one_of_each_group(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near duplicates, with all columns: of each group connected by pairs the document of the lowest id stays.
+
+    Rows with a NULL id or without words stay. Rows that share an id count as one document
+    and stay or go together.
+    """
+    gone = groups(written(ngram_jaccard_pairs(docs, threshold, n, id_col, text_col))).where("doc_id <> first").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -13,24 +13,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import pick
+from loam.llm.common import pick, quoted
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """The statistics that conditions test, of whole texts. Ratios of an empty text are 0; of NULL all are NULL."""
-    chars = F.length(text)
+    """The statistics that conditions test, of whole texts; none of them drifts with a text's length. All are NULL for NULL and 0 for an empty text."""
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
-    per = lambda a, b: F.when(b > 0, a / b).otherwise(F.when(text.isNotNull(), F.lit(0.0)))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words).cast("double")
+    chars = F.greatest(F.length(text), F.lit(1))
+    words = F.split(text, r"\s+")
+    n = F.greatest(F.size(words) - 1, F.lit(1))
+    again = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(a == b, 1))
     return {
-        "n_chars": chars.cast("double"),
-        "n_words": F.when(text.isNotNull(), n),
-        "upper_ratio": per(count(r"\p{Lu}"), chars),
-        "symbol_ratio": per(count(r"[^\p{L}\p{N}\s.,]"), chars),
-        "digit_ratio": per(count(r"[0-9]"), chars),
-        "word_length": per(chars.cast("double"), n),
-        "distinct_word_ratio": per(F.size(F.array_distinct(words)).cast("double"), n),
+        "upper_ratio": count(r"\p{Lu}") / chars,
+        "symbol_ratio": count(r"[^\p{L}\p{N}\s.,]") / chars,
+        "digit_ratio": count(r"[0-9]") / chars,
+        "space_ratio": count(r"\s") / chars,
+        "repeated_word_ratio": F.when(text.isNotNull(), F.size(F.array_compact(again)) / n),
     }
 
 
@@ -43,8 +41,8 @@ class Condition:
     def holds(self, table: dict[str, np.ndarray]) -> np.ndarray:
         return table[self.name] > self.threshold if self.above else table[self.name] <= self.threshold
 
-    def column(self) -> Column:
-        return F.col(self.name) > self.threshold if self.above else F.col(self.name) <= self.threshold
+    def column(self, stats: dict[str, Column]) -> Column:
+        return stats[self.name] > self.threshold if self.above else stats[self.name] <= self.threshold
 
     def __str__(self) -> str:
         return f"{self.name} {'>' if self.above else '<='} {self.threshold!r}"
@@ -65,13 +63,13 @@ class Rule:
 class DecisionList:
     rules: tuple[Rule, ...] = field(default=())
 
-    def decide(self) -> Column:
-        """The number of the first rule that holds, from 1; 0: none does."""
+    def decide(self, stats: dict[str, Column]) -> Column:
+        """One ordered conditional expression: the number of the first rule that holds, from 1; 0: none does."""
         out: Column | None = None
         for i, rule in enumerate(self.rules, 1):
             test = F.lit(True)
             for c in rule.conditions:
-                test = test & c.column()
+                test = test & c.column(stats)
             out = F.when(test, i) if out is None else out.when(test, i)
         return F.lit(0) if out is None else out.otherwise(0)
 
@@ -167,16 +165,20 @@ def learn_quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 6000
     return fit_decision_list({k: got[k].to_numpy(float) for k in stats}, got["bad"].to_numpy(bool), min_precision)
 
 
+def rule_of(text: Column, rules: DecisionList) -> Column:
+    """The number of the first rule that holds for a text; -1 for NULL and for texts of white space alone, 0: it stays."""
+    return F.when(text.isNull() | ~text.rlike(r"\S"), -1).otherwise(rules.decide(statistics(text)))
+
+
 def apply_quality_rules(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rule, keep) of every row: the number of the first rule that holds (0: none) and whether the document stays.
 
-    No condition holds for a NULL text's statistics, so that it gets rule 0; here it is
-    rejected all the same, as there is nothing to keep, with rule -1, and so is a text
-    without any word. Equal rows get equal results; an empty table gives an empty one; other
-    columns are left out.
+    NULL texts and texts of white space alone have rule -1 and go: there is nothing to keep.
+    Equal rows get equal results; an empty table gives an empty one; other columns are left out.
     """
-    stats = statistics(F.col("text"))
-    rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", *(c.alias(k) for k, c in stats.items()))
-    rule = F.when(F.coalesce(F.col("n_words"), F.lit(0.0)) == 0, -1).otherwise(rules.decide())
-    return rows.select("doc_id", rule.alias("rule")).withColumn("keep", F.col("rule") == 0)
+    return pick(docs, doc_id=id_col, text=text_col).select("doc_id", rule_of(F.col("text"), rules).alias("rule")).withColumn("keep", F.col("rule") == 0)
+
 
+def keep_good(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
+    """The rows that no rule rejects, with all their columns."""
+    return docs.where(rule_of(quoted(text_col), rules) == 0)

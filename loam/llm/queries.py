@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loam.llm.duck_bpe import encode_and_decode
+from loam.llm.fingerprints import simhash_neighbours
+from loam.llm.huffman import huffman_blocks
+from loam.llm.language_id import fit_language_filters, identify_language
 from loam.llm.ngram_join import ngram_jaccard_pairs
+from loam.llm.packing import pack_windows
+from loam.llm.pii import redact_pii
+from loam.llm.quality_rules import apply_quality_rules, learn_quality_rules
+from loam.llm.sharding import interleave_shards
 from loam.llm.token_counts import count_tokens
 
 
@@ -12,8 +20,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return identify_language(docs, fit_language_filters(docs))
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return apply_quality_rules(docs, learn_quality_rules(docs, labels(spark, sf_dir)))
+
+
 QUERIES = {
+    "op1_sharding": lambda spark, sf_dir: interleave_shards(documents(spark, sf_dir)),
+    "op2_language_id": _language,
+    "op3_packing": lambda spark, sf_dir: pack_windows(documents(spark, sf_dir)),
+    "op4_pii": lambda spark, sf_dir: redact_pii(documents(spark, sf_dir)),
     "op5_ngram_jaccard_join": lambda spark, sf_dir: ngram_jaccard_pairs(documents(spark, sf_dir)),
+    "op6_fingerprints": lambda spark, sf_dir: simhash_neighbours(documents(spark, sf_dir)),
+    "op7_bpe": lambda spark, sf_dir: encode_and_decode(documents(spark, sf_dir)),
+    "op8_huffman": lambda spark, sf_dir: huffman_blocks(documents(spark, sf_dir)),
+    "op9_quality_rules": _quality,
     "op10_token_counts": lambda spark, sf_dir: count_tokens(documents(spark, sf_dir)),
 }
 
@@ -27,4 +57,11 @@ SELECT * FROM near WHERE jaccard >= 0.5
 UNION ALL SELECT one.doc_id, g.doc_id, 1.0 FROM g JOIN one USING (s) WHERE one.doc_id < g.doc_id
 """
 
-SQL = {"op5_ngram_jaccard_join": _NGRAMS}
+_SHARDS = """
+WITH d AS (SELECT doc_id, source, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM d),
+p AS (SELECT doc_id, source, row_number() OVER (ORDER BY (2 * r + 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS FIRST, k, doc_id NULLS FIRST) - 1 AS position, count(*) OVER () AS total FROM r)
+SELECT doc_id, source, position, (position * 64 // total)::INTEGER AS shard FROM p
+"""
+
+SQL = {"op1_sharding": _SHARDS, "op5_ngram_jaccard_join": _NGRAMS}
