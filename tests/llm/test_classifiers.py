@@ -1,0 +1,184 @@
+import itertools
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from loam.llm.arrays import utf8
+from loam.llm.language_id import build_filters, fit_language_filters, grams, identify_language, keep_known_languages, language_counts
+from loam.llm.pii import TAGS, ChainModel, default_model, find_entities, labelled_sentences, redact_pii, redact_texts, tag_tokens, viterbi
+from loam.llm.quality_rules import Condition, DecisionList, Rule, apply_quality_rules, fit_decision_list, keep_good, learn_quality_rules
+from loam.llm.queries import QUERIES
+
+# --- language ---
+
+
+def test_language_query(spark, sf, docs):
+    rows = QUERIES["op2_language_id"](spark, sf).collect()
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    assert len(rows) == len(truth)
+    assert sum(r.language == truth[r.doc_id] for r in rows) >= 0.97 * len(rows)
+    assert all(r.keep for r in rows)
+
+
+def test_held_out_accuracy(docs):
+    train = docs.where("doc_id % 2 = 0")
+    got = identify_language(docs.where("doc_id % 2 = 1"), fit_language_filters(train)).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.where("language = lang").count() >= 0.95 * got.count()
+
+
+def test_counts_against_a_loop(texts):
+    members = [np.unique(grams(*utf8(pa.array([t]), lower=True), 4)[0]) for t in list(texts.values())[:3]]
+    filters = build_filters(["a", "b", "c"], members, 4, bits=14)
+    some = list(texts.values())[:20]
+    hits, total = language_counts(filters, *utf8(pa.array(some), lower=True))
+    for i, t in enumerate(some):
+        raw = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in t.lower()).encode()
+        each = [raw[k : k + 4] for k in range(len(raw) - 3) if raw[k : k + 4].count(b" ") < 2]
+        assert total[i] == len(each)
+        for j, m in enumerate(members):
+            exact = sum(int.from_bytes(g, "little") in set(m.tolist()) for g in set(each)) and sum(int.from_bytes(g, "little") in s for s in [set(m.tolist())] for g in each)
+            assert exact <= hits[i, j] <= exact + 0.2 * len(each) + 5  # a Bloom filter never misses
+
+
+def test_languages_that_are_none(spark, docs):
+    filters = fit_language_filters(docs)
+    odd = spark.createDataFrame([(1, "щщщ жжж ююю " * 20), (2, "the"), (3, None), (4, ""), (5, "zqx jvk qqzz xkjw vvqk " * 10), (6, "12 34 !!" * 50)], "doc_id long, text string")
+    got = {r.doc_id: (r.language, r.keep) for r in identify_language(odd, filters).collect()}
+    assert got[1] == ("und", False) and got[5] == ("und", False)
+    assert got[2][1] and got[4] == ("und", True) and got[3] == ("und", False) and got[6] == ("und", True)
+    assert sorted(r.doc_id for r in keep_known_languages(odd, filters).collect()) == [2, 4, 6]
+
+
+def test_language_edges(edge, empty, docs):
+    filters = fit_language_filters(docs)
+    assert identify_language(edge, filters).count() == edge.count()
+    assert keep_known_languages(edge, filters).columns == edge.columns
+    assert identify_language(empty, filters).count() == 0
+    none = fit_language_filters(empty)
+    assert {r.language for r in identify_language(edge, none).collect()} == {"und"}
+    assert fit_language_filters(edge).languages == ("de", "en", "es", "fr")
+    with pytest.raises(ValueError):
+        build_filters([str(i) for i in range(65)], [np.empty(0, np.uint64)] * 65, 4)
+
+
+# --- personal data ---
+
+
+def model_for_tests(seed=0):
+    r = np.random.default_rng(seed)
+    k = len(TAGS)
+    return ChainModel({}, {}, {}, r.normal(size=(k, k)), r.normal(size=k), r.normal(size=k))
+
+
+def test_viterbi_against_all_paths():
+    model, r = model_for_tests(), np.random.default_rng(1)
+    lengths = np.array([1, 4, 2, 3, 4, 1])
+    e = r.normal(size=(lengths.sum(), len(TAGS)))
+    left, right = r.random(6) < 0.5, r.random(6) < 0.5
+    got, at = viterbi(e, lengths, model, left, right), 0
+    for n, a, b in zip(lengths, left, right):
+        def score(p):
+            s = (model.start if a else model.transitions[0])[p[0]] + (model.end if b else model.transitions[:, 0])[p[-1]]
+            return s + sum(e[at + i, y] for i, y in enumerate(p)) + sum(model.transitions[x, y] for x, y in itertools.pairwise(p))
+        assert tuple(got[at : at + n]) == max(itertools.product(range(len(TAGS)), repeat=int(n)), key=score)
+        at += n
+
+
+def test_cut_chains_decode_like_whole_texts(texts):
+    data, offsets = utf8(pa.array(list(texts.values())))
+    for a, b in zip(tag_tokens(default_model(), data, offsets), tag_tokens(default_model(), data, offsets, cut=False)):
+        assert (a == b).all()
+
+
+def test_held_out_sentences():
+    right = total = 0
+    for row in labelled_sentences(300, seed=77):
+        data, offsets = utf8(pa.array([" ".join(t for t, _ in row)]))
+        start, _, _, tag = tag_tokens(default_model(), data, offsets)
+        got, at = dict(zip(start.tolist(), tag.tolist())), 0
+        for token, want in row:
+            right += TAGS[got.get(at, 0)] == want
+            total += 1
+            at += len(token.encode()) + 1
+    assert right >= 0.98 * total
+
+
+PLAIN = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]*\w|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b\d{16}\b|\+1 \(\d{3}\) \d{3}-\d{4}|[0-9a-fA-F]{40}")
+
+
+def test_pii_query(spark, sf, texts):
+    rows = QUERIES["op4_pii"](spark, sf).collect()
+    assert {r.doc_id for r in rows} == texts.keys()
+    for r in rows:
+        text = texts[r.doc_id]
+        assert not PLAIN.search(r.text)
+        assert bool(r.entities) == bool(PLAIN.search(text))
+        out, done = [], 0
+        for e in r.entities:
+            out += [text[done : e.start], f"[{e.tag}]"]
+            done = e.end
+        assert "".join(out) + text[done:] == r.text
+
+
+def test_pii_edges(spark, edge, empty):
+    rows = redact_pii(edge).collect()
+    assert len(rows) == edge.count()
+    assert all((r.text is None) == (r.entities is None) for r in rows)
+    assert [r.text for r in rows if r.doc_id == 9] == ["é ß 漢字 🎉 mail [EMAIL]"]
+    assert [(e.tag, e.start, e.end) for r in rows if r.doc_id == 9 for e in r.entities] == [("EMAIL", 14, 29)]
+    assert redact_texts(edge).columns == edge.columns and redact_texts(edge).count() == edge.count()
+    assert redact_pii(empty).count() == 0 and redact_texts(empty).count() == 0
+    many = " ".join(["4111111111111111"] * 5000)
+    assert find_entities(default_model(), *utf8(pa.array([many])))[0] == [("CARD", 0, len(many))]
+
+
+# --- quality ---
+
+
+def test_quality_query(spark, sf, docs):
+    rows = QUERIES["op9_quality_rules"](spark, sf).collect()
+    assert len(rows) == docs.count()
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert sum(r.keep == (marks[r.doc_id] == 1) for r in rows if r.doc_id in marks) >= 0.93 * len(marks)
+
+
+def test_rules_generalise(spark):
+    big = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    rules = learn_quality_rules(docs, labels.where("doc_id % 2 = 0"))
+    got = apply_quality_rules(docs, rules).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    assert sum(r.keep == (r.quality == 1) for r in got) >= 0.95 * len(got)
+
+
+def test_expression_equals_the_list():
+    random = np.random.default_rng(4)
+    table = {k: random.random(500) for k in "abc"}
+    bad = (table["a"] > 0.7) & (table["b"] <= 0.5) | (table["c"] > 0.9)
+    found = fit_decision_list(table, bad)
+    assert (found.apply(table) > 0)[bad].mean() > 0.9 and (found.apply(table) > 0)[~bad].mean() < 0.05
+    assert 1 <= len(found.rules) <= 12 and "bad if" in str(found)
+
+
+def test_spark_applies_the_same_list(spark):
+    rules = DecisionList((Rule((Condition("a", True, 0.5), Condition("b", False, 0.2)), 1.0), Rule((Condition("b", True, 0.8),), 1.0)))
+    random = np.random.default_rng(6)
+    table = {k: random.random(200) for k in "ab"}
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(table["a"], table["b"])], "a double, b double")
+    got = [r.x for r in df.select(rules.decide({"a": F.col("a"), "b": F.col("b")}).alias("x")).collect()]
+    assert got == rules.apply(table).tolist()
+
+
+def test_quality_edges(spark, edge, empty, docs):
+    labels = spark.createDataFrame([(1, 0), (5, 1), (None, 1), (6, None), (6, 0), (9, 7)], "doc_id long, quality int")
+    rules = learn_quality_rules(edge, labels)
+    rows = apply_quality_rules(edge, rules).collect()
+    assert len(rows) == edge.count()
+    assert {r.rule for r in rows if r.doc_id in (1, 2, 7)} == {-1}
+    assert learn_quality_rules(empty, labels) == DecisionList()
+    nothing = learn_quality_rules(docs, labels.where("false"))
+    assert nothing == DecisionList() and keep_good(docs, nothing).count() == docs.count()
+    assert apply_quality_rules(empty, rules).count() == 0
+    assert keep_good(edge, DecisionList()).columns == edge.columns
