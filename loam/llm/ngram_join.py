@@ -427,12 +427,36 @@ def ngram_jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_
     return near.unionByName(alike).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def _stars(batches):
+    """Each node of a partition's pairs with the lowest node it is connected with there: no more rows than nodes, however many pairs."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            above.setdefault(a, a)
+            above.setdefault(b, b)
+            x, y = root(a), root(b)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+    nodes = [x for x in above if root(x) != x]
+    for k in range(0, len(nodes), 100_000):
+        part = nodes[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([root(x) for x in part], pa.int64()), pa.array(part, pa.int64())], ["doc_id_a", "doc_id_b"])
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """(doc_id, first): every document of the pairs with the lowest id of its connected component.
 
-    Each round, a node takes the lowest label among its own and its neighbours' and then its
+    Each partition first reduces its pairs to one row per node, without a shuffle. Then, each
+    round, a node takes the lowest label among its own and its neighbours' and then its
     label's label, so that chains shorten by half; rounds are written tables.
     """
+    pairs = written(pairs.select("doc_id_a", "doc_id_b").mapInArrow(_stars, "doc_id_a long, doc_id_b long"))
     edges = written(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).unionByName(pairs.select(F.col("doc_id_b").alias("a"), F.col("doc_id_a").alias("b"))))
     labels = written(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("first")))
     while True:
