@@ -172,7 +172,8 @@ def has_heading(x: Column) -> Column:
 
 
 def clamp(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """x within 0 and 1; NULL stays NULL, which greatest and least alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def score_bar(x: Column) -> Column:

@@ -45,7 +45,7 @@ def freshness_records(assets: DataFrame, policy: DataFrame, as_of: Column, expir
             "age_days": age,
             "is_stale": exceeded(age, F.col("stale_days")),
             "is_expired": exceeded(age, F.col("ttl_days")) if expires else F.lit(False),
-            "freshness_score": F.coalesce(F.greatest(F.lit(0.0), 1 - age / span), F.lit(1.0)),
+            "freshness_score": F.when(age.isNull() | span.isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - age / span)),
         }
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions.text import clamp
+
 WEIGHTS = {"Data Quality": 0.35, "Validation": 0.25, "Uniqueness": 0.20, "Freshness": 0.20}
 
 
@@ -29,7 +31,7 @@ def health_components(quality: DataFrame | None = None, validation: DataFrame |
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
+    return out.withColumn("score", clamp(F.col("score")))
 
 
 def status(x: Column) -> Column:

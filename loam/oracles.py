@@ -88,7 +88,7 @@ RECORDS = f"""{POLICY},
 assets AS (SELECT 'user_' || user_id AS asset_id, (['short_term', 'web_cache', 'long_term', 'chat_history', 'memory', 'unknown'])[user_id % 6 + 1] AS category, max(ts) AS updated_at FROM events GROUP BY user_id),
 aged AS (SELECT a.asset_id, a.category, p.ttl_days, p.stale_days, p.action, {age('a.updated_at')} AS age_days FROM assets a LEFT JOIN policy p USING (category)),
 records AS (SELECT *, coalesce(age_days > stale_days, false) AS is_stale, coalesce(age_days > ttl_days, false) AS is_expired,
-  coalesce(greatest(0, 1 - age_days / CASE WHEN ttl_days > 0 THEN ttl_days WHEN stale_days > 0 THEN stale_days * 2 END), 1.0::DOUBLE) AS freshness_score FROM aged)"""
+  CASE WHEN age_days IS NULL OR (ttl_days IS NULL AND stale_days IS NULL) THEN 1.0::DOUBLE ELSE greatest(0, 1 - age_days / coalesce(ttl_days, stale_days * 2)) END AS freshness_score FROM aged)"""
 FRESH = "count(*) AS total, count(*) FILTER (is_stale) AS stale_count, count(*) FILTER (is_expired) AS expired_count, avg(freshness_score) AS avg_freshness"
 
 DUPLICATES = f"""h AS (SELECT doc_id AS ordinal, 'doc_' || doc_id AS chunk_id, md5({normal('text')}) AS hash FROM documents)"""

@@ -13,9 +13,27 @@ from loam.functions import text as T
 DOCUMENT_SUFFIXES = (".txt", ".md", ".pdf", ".docx", ".xlsx")
 
 
+def _roots(spark: SparkSession, folder: str) -> list[str]:
+    """The folder and all folders below whose names begin with _ or . : Spark's listing skips those unless they are named."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    top = fs_path(folder)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    roots, todo = [folder], [top]
+    while todo:
+        for entry in fs.listStatus(todo.pop()):
+            if entry.isDirectory():
+                todo.append(entry.getPath())
+                if entry.getPath().getName()[0] in "_.":
+                    roots.append(entry.getPath().toString())
+    return roots
+
+
 def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] | None = None) -> DataFrame:
-    """(path, rel_path, name, ext, mtime, size, content) of all files below a folder. Columns that a query doesn't use aren't read: file times need no contents."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    """(path, rel_path, name, ext, mtime, size, content) of all files below a folder. Columns that a query doesn't use aren't read: file times need no contents.
+
+    Files whose own names begin with _ or . are left out, as Spark's listing does; folders of such names are read.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_roots(spark, folder))
     path = F.expr("url_decode(replace(regexp_replace(path, '^file:/*', '/'), '+', '%2B'))")
     rel = F.regexp_replace(F.expr(f"substring(p, length('{folder.rstrip('/').replace(chr(39), chr(92) + chr(39))}') + 2)"), "^/+", "")
     df = raw.withColumn("p", path).select(F.col("p").alias("path"), rel.alias("rel_path"), T.basename(F.col("p")).alias("name"), T.suffix(F.col("p")).alias("ext"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime"), F.col("length").alias("size"), "content")
