@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.storage import shared_dir, written
+
 TOKENIZERS = "/opt/tokenizers"
 WORD_VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset, as in tests on one machine, a fresh folder is made and set.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="loam-checkpoint-")
-        spark.sparkContext.setCheckpointDir(there)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(there)
-    return there
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: no other column can clash."""
     return df.select([quoted(name).alias(own) for own, name in columns.items()])
@@ -58,3 +35,6 @@ def slices(texts: list[str | None], most_chars: int = 2_000_000):
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+__all__ = ["TOKENIZERS", "WORD_VOCABULARY", "pick", "quoted", "shared_dir", "slices", "strings", "written"]
