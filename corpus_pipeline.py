@@ -6,17 +6,15 @@ the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import shared_dir
 from loam.llm.language_id import fit_language_filters, keep_known_languages
 from loam.llm.ngram_join import keep_one_of_each_group
 from loam.llm.packing import pack_windows
 from loam.llm.pii import redact_texts
 from loam.llm.quality_rules import keep_good, learn_quality_rules
+from loam.storage import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = written(docs)
     return docs
 
 

@@ -38,9 +38,9 @@ def chunk_features(chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
 def chunk_profile(chunks: DataFrame, by: Sequence[str] = (), config: Config = DEFAULT, how: str = "groupBy") -> DataFrame:
     """The scores of a set of chunks, per group: completeness, uniqueness, validity, consistency, their mean and what they rest on.
 
-    Distinct hashes come from one pre-aggregation, which also holds the other sums: rows
-    meet their group's hash once, and nothing is expanded for the distinct count. how:
-    groupBy, cube or rollup. No rows and no grouping give one row of zeros.
+    One aggregation of a narrow projection: texts stay in the scan's tasks, and what is
+    shuffled are the distinct hashes and sources, combined before. how: groupBy, cube or
+    rollup. No rows and no grouping give one row of zeros.
     """
     f = chunk_features(chunks, config).withColumn("source_", F.coalesce(F.col("metadata")["source"], F.lit("unknown")))
     grouped = getattr(f, how)(*by) if by else f.groupBy()
