@@ -17,7 +17,7 @@ each candidate pair is verified once.
     pairs pass the length and the positional filter, and are known once.
 6.  Token lists meet at the home of a pair's first document: a min-hash, so that lists of
     near copies mostly live together and each is sent once per home, not once per pair.
-    There the suffix filter and then the exact count decide.
+    A home of many pairs is divided. There the suffix filter and then the exact count decide.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ CHUNK_DOCS = 60_000
 BUCKET_BYTES = 8_000_000
 HOME_DOCS = 1024
 ROUTE_DOCS = 2048
+#: A home with more pairs is divided by its first documents, so that no task grows with the largest group of copies.
+CELL_PAIRS = 100_000
 
 
 def pack(values: np.ndarray, extra: bytes = b"") -> bytes:
@@ -271,7 +273,7 @@ def _meet(routes: int, most: int = 500_000):
     return run
 
 
-CANDIDATES = "row_a long, row_b long, home_a int, home_b int, pos_a int"
+CANDIDATES = "row_a long, row_b long, home_a int, pos_a int"
 _POS = 22
 
 
@@ -331,7 +333,7 @@ def _candidates(threshold: float, most: int = 4_000_000):
         a, b = pair // width, pair % width
         for k in range(0, len(keys), 500_000):
             x, y = a[k : k + 500_000], b[k : k + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(whole[x]), pa.array(whole[y]), pa.array(home[x]), pa.array(home[y]), pa.array((keys[k : k + 500_000] & (2**_POS - 1)).astype(np.int32))], ["row_a", "row_b", "home_a", "home_b", "pos_a"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole[x]), pa.array(whole[y]), pa.array(home[x]), pa.array((keys[k : k + 500_000] & (2**_POS - 1)).astype(np.int32))], ["row_a", "row_b", "home_a", "pos_a"])
 
     return run
 
@@ -420,10 +422,12 @@ def ngram_jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_
     postings = single.select("row", "size", "home", "tokens").mapInArrow(_postings(threshold), POSTINGS)
     together = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(max(16, rows // ROUTE_DOCS)), ROUTED)
     found = together.repartition("route").sortWithinPartitions("route").mapInArrow(_candidates(threshold), CANDIDATES)
-    pairs = written(found.groupBy("row_a", "row_b").agg(F.first("home_a").alias("home_a"), F.first("home_b").alias("home_b"), F.min("pos_a").alias("pos_a")))
-    guests = pairs.where("home_a <> home_b").select(F.col("row_b").alias("row"), F.col("home_a").alias("at")).distinct()
-    there = single.select(F.col("home").alias("at"), "row", "doc_id", "size", "tokens").unionByName(single.drop("home").join(guests, "row").select("at", "row", "doc_id", "size", "tokens"))
-    near = pairs.groupBy(F.col("home_a").alias("at")).cogroup(there.groupBy("at")).applyInArrow(_verify(threshold), PAIRS)
+    pairs = written(found.groupBy("row_a", "row_b").agg(F.first("home_a").alias("home_a"), F.min("pos_a").alias("pos_a")))
+    parts = pairs.groupBy("home_a").agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).cast("int").alias("parts"))
+    placed = pairs.join(parts, "home_a").select(F.col("home_a").alias("at"), F.pmod(F.xxhash64("row_a"), F.col("parts").cast("long")).cast("int").alias("part"), "row_a", "row_b", "pos_a")
+    needed = placed.select(F.col("at").alias("home"), F.col("part").alias("division"), F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
+    there = needed.join(single.select("row", "doc_id", "size", "tokens"), "row")
+    near = placed.groupBy("at", "part").cogroup(there.groupBy("home", "division")).applyInArrow(_verify(threshold), PAIRS)
     return near.unionByName(alike).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
