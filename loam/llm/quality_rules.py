@@ -25,7 +25,7 @@ def statistics(text: Column) -> dict[str, Column]:
     again = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(a == b, 1))
     return {
         "upper_ratio": count(r"\p{Lu}") / chars,
-        "symbol_ratio": count(r"[^\p{L}\p{N}\s.,]") / chars,
+        "symbol_ratio": count(r"[^\p{L}\p{N}\s.,;:?'\"()+@=-]") / chars,
         "digit_ratio": count(r"[0-9]") / chars,
         "space_ratio": count(r"\s") / chars,
         "repeated_word_ratio": F.when(text.isNotNull(), F.size(F.array_compact(again)) / n),
