@@ -175,20 +175,17 @@ def orphans(left: DataFrame, right: DataFrame, key: str = "name", limit: int | N
 def knowledge_base_profile(docs: DataFrame, chunks: DataFrame | None, as_of: Column, config: Config = DEFAULT) -> DataFrame:
     """(dimension, score) rows and the items, issues and mean over them, of documents and, if given, their chunks in the store."""
     profiles = document_profile(docs, as_of, config)
-    d = profiles.agg(F.count(F.lit(1)).alias("n"), F.avg("overall").alias("overall"), F.avg("timeliness").alias("timeliness"), F.coalesce(F.sum("issues"), F.lit(0)).alias("issues"), F.count_if(F.col("overall") < 0.6).alias("low"))
-    parts = [d.select(F.lit("completeness").alias("dimension"), F.coalesce("overall", F.lit(0.0)).alias("score"), F.col("n").alias("items"), F.col("issues").cast("long").alias("issues"))]
-    nothing = [F.lit(0).cast("long").alias("items"), F.lit(0).cast("long").alias("issues")]
+    one = profiles.agg(F.count(F.lit(1)).alias("n"), F.avg("overall").alias("d_overall"), F.avg("timeliness").alias("d_timeliness"), F.coalesce(F.sum("issues"), F.lit(0)).alias("d_issues"))
+    row = lambda name, score, items=0, issues=0: F.struct(F.lit(name).alias("dimension"), score.alias("score"), *((v if isinstance(v, Column) else F.lit(v)).cast("long").alias(k) for k, v in (("items", items), ("issues", issues))))
+    some = F.col("n") > 0
+    rows = [row("completeness", F.coalesce("d_overall", F.lit(0.0)), F.col("n"), F.col("d_issues"))]
     if chunks is not None:
-        c = chunk_profile(chunks, config=config)
-        parts.append(c.select(F.lit("uniqueness").alias("dimension"), F.col("uniqueness").alias("score"), F.col("total").alias("items"), F.col("issues").cast("long").alias("issues")))
-        parts.append(c.select(F.lit("validity").alias("dimension"), F.col("validity").alias("score"), *nothing))
-        same = name_consistency(docs.select(F.col("path").alias("name")), chunks.select(F.col("metadata")["source"].alias("source")))
-        parts.append(same.crossJoin(d.select("n")).where("n > 0").select(F.lit("consistency").alias("dimension"), "score", nothing[0], F.when(F.col("score") < 0.8, 1).otherwise(0).cast("long").alias("issues")))
-    parts.append(d.where("n > 0").select(F.lit("timeliness").alias("dimension"), F.col("timeliness").alias("score"), *nothing))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
+        c = chunk_profile(chunks, config=config).select("uniqueness", "validity", F.col("total").alias("c_total"), F.col("issues").alias("c_issues"))
+        same = name_consistency(docs.select(F.col("path").alias("name")), chunks.select(F.col("metadata")["source"].alias("source"))).select(F.col("score").alias("same"))
+        one = one.crossJoin(c).crossJoin(same)
+        rows += [row("uniqueness", F.col("uniqueness"), F.col("c_total"), F.col("c_issues")), row("validity", F.col("validity")), F.when(some, row("consistency", F.col("same"), 0, F.when(F.col("same") < 0.8, 1).otherwise(0)))]
+    rows.append(F.when(some, row("timeliness", F.col("d_timeliness"))))
+    return one.select(F.inline(F.array_compact(F.array(*rows))))  # one row of sums: texts are scanned once for documents and once for chunks
 
 
 def overall_of(dimensions: DataFrame) -> DataFrame:
