@@ -188,5 +188,12 @@ def knowledge_base_profile(docs: DataFrame, chunks: DataFrame | None, as_of: Col
     return one.select(F.inline(F.array_compact(F.array(*rows))))  # one row of sums: texts are scanned once for documents and once for chunks
 
 
+def merged_recommendations(profiles: DataFrame, order: str = "path") -> DataFrame:
+    """(recommendation, first, n): each text once, in the order of its first row and its place there."""
+    each = profiles.select(order, F.posexplode("recommendations").alias("at", "recommendation"))
+    merged = each.groupBy("recommendation").agg(F.min(F.struct(order, "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return merged.orderBy("first").select("recommendation", F.col(f"first.{order}").alias("first"), "n")
+
+
 def overall_of(dimensions: DataFrame) -> DataFrame:
     return dimensions.agg(F.avg("score").alias("overall"), F.sum("items").alias("items"), F.sum("issues").alias("issues"))

@@ -169,6 +169,7 @@ UNION ALL SELECT ordinal, chunk_id, 'gibberish', NULL, round(g, 6), NULL FROM p
 UNION ALL SELECT ordinal, chunk_id, 'duplicate', NULL, NULL, first_id FROM p WHERE sn > 0 AND k > 1""",
     "problem_counts": f"WITH {CHUNKS}, p AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY ordinal) AS k FROM f), a AS (SELECT 'empty' AS problem, count(*) FILTER (sn = 0) AS n FROM p UNION ALL SELECT 'too_short', count(*) FILTER (sn > 0 AND sn < 20) FROM p UNION ALL SELECT 'too_long', count(*) FILTER (sn > 5000) FROM p UNION ALL SELECT 'gibberish', count(*) FILTER (sn > 0 AND g > 0.3) FROM p UNION ALL SELECT 'duplicate', count(*) FILTER (sn > 0 AND k > 1) FROM p) SELECT * FROM a WHERE n > 0",
     "document_profile": f"WITH {DOCS} SELECT path, length, word_count, round(completeness, 6) AS completeness, round(validity, 6) AS validity, round(timeliness, 6) AS timeliness, round(overall, 6) AS overall, issues, concat_ws('; ', CASE WHEN completeness < 0.5 THEN 'Too short or empty' END, CASE WHEN validity < 0.7 THEN 'Encoding damage likely' END, CASE WHEN timeliness < 0.3 THEN 'Stale' END, CASE WHEN blank THEN 'Without content' END) AS recommendations FROM docs",
+    "recommendations": f"WITH {DOCS}, r AS (SELECT path, 'Too short or empty' AS recommendation FROM docs WHERE completeness < 0.5 UNION ALL SELECT path, 'Encoding damage likely' FROM docs WHERE validity < 0.7 UNION ALL SELECT path, 'Stale' FROM docs WHERE timeliness < 0.3 UNION ALL SELECT path, 'Without content' FROM docs WHERE blank) SELECT recommendation, min(path) AS first, count(*) AS n FROM r GROUP BY 1",
     "kb_profile": f"""WITH {CHUNKS}, {chunk_profile()}, {DOCS}, {consistency(f'SELECT {base("path")} FROM files', f'SELECT {base("source")} FROM chunks')}
 SELECT 'completeness' AS dimension, round(avg(overall), 6) AS score, count(*) AS items, sum(issues)::BIGINT AS issues FROM docs
 UNION ALL SELECT 'uniqueness', round(uniqueness, 6), total, issues::BIGINT FROM profile

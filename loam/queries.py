@@ -139,6 +139,11 @@ def document_profile(spark, sf_dir):
     return rounded(profile.document_profile(files(spark, sf_dir), as_of()).withColumn("recommendations", F.array_join("recommendations", "; ")))
 
 
+@query
+def recommendations(spark, sf_dir):
+    return profile.merged_recommendations(profile.document_profile(files(spark, sf_dir), as_of()))
+
+
 @query
 def kb_profile(spark, sf_dir):
     return rounded(profile.knowledge_base_profile(files(spark, sf_dir), chunks(spark, sf_dir), as_of()))
