@@ -20,6 +20,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def small(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A written table of few narrow columns with the hint to broadcast it, if it has at most so many rows; else as it is, for a shuffled join."""
+    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
+
+
 def strings(values) -> list[str | None]:
     """A pandas string column as Python strings, missing values as None."""
     return [x if isinstance(x, str) else None for x in values.tolist()]
@@ -37,4 +42,4 @@ def slices(texts: list[str | None], most_chars: int = 2_000_000):
         yield start, len(texts)
 
 
-__all__ = ["TOKENIZERS", "WORD_VOCABULARY", "pick", "quoted", "shared_dir", "slices", "strings", "written"]
+__all__ = ["TOKENIZERS", "WORD_VOCABULARY", "pick", "quoted", "shared_dir", "slices", "small", "strings", "written"]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.arrays import mix, ngram_hashes, runs, sliced, utf8, word_hashes
-from loam.llm.common import pick, written
+from loam.llm.common import pick, small, written
 
 HASH_BITS = 56
 RANK_BITS = 27
@@ -401,7 +401,11 @@ def ngram_jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    spark = docs.sparkSession
+    return _pairs(docs, threshold, n, id_col, text_col).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def _pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs; those of ids that several rows have may come more than once."""
     docs = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr("CAST(doc_id AS LONG) doc_id", "text")
     total, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(16, total // BUCKET_BYTES)
@@ -423,12 +427,13 @@ def ngram_jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_
     together = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(max(16, rows // ROUTE_DOCS)), ROUTED)
     found = together.repartition("route").sortWithinPartitions("route").mapInArrow(_candidates(threshold), CANDIDATES)
     pairs = written(found.groupBy("row_a", "row_b").agg(F.first("home_a").alias("home_a"), F.min("pos_a").alias("pos_a")))
-    parts = pairs.groupBy("home_a").agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).cast("int").alias("parts"))
-    placed = pairs.join(parts, "home_a").select(F.col("home_a").alias("at"), F.pmod(F.xxhash64("row_a"), F.col("parts").cast("long")).cast("int").alias("part"), "row_a", "row_b", "pos_a")
+    parts = pairs.groupBy("home_a").agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).cast("long").alias("parts")).where("parts > 1")
+    share = F.coalesce(F.pmod(F.xxhash64("row_a"), F.col("parts")), F.lit(0)).cast("int")
+    placed = pairs.join(small(written(parts)), "home_a", "left").select(F.col("home_a").alias("at"), share.alias("part"), "row_a", "row_b", "pos_a")
     needed = placed.select(F.col("at").alias("home"), F.col("part").alias("division"), F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
     there = needed.join(single.select("row", "doc_id", "size", "tokens"), "row")
     near = placed.groupBy("at", "part").cogroup(there.groupBy("home", "division")).applyInArrow(_verify(threshold), PAIRS)
-    return near.unionByName(alike).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    return near.unionByName(alike)
 
 
 def _stars(batches):
@@ -480,5 +485,6 @@ def keep_one_of_each_group(docs: DataFrame, threshold: float = 0.5, n: int = 3,
     Rows with a NULL id or without words stay. Rows that share an id count as one document
     and stay or go together.
     """
-    gone = groups(written(ngram_jaccard_pairs(docs, threshold, n, id_col, text_col))).where("doc_id <> first").select(F.col("doc_id").alias("_gone"))
+    gone = groups(_pairs(docs, threshold, n, id_col, text_col)).where("doc_id <> first").select(F.col("doc_id").alias("_gone"))
+    gone = small(written(gone))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

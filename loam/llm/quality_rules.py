@@ -157,7 +157,7 @@ def learn_quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 6000
     if not total:
         return DecisionList()
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, max_rows / total)))
-    rows = pick(docs, doc_id=id_col, text=text_col).where("text IS NOT NULL").join(known, "doc_id")
+    rows = pick(docs, doc_id=id_col, text=text_col).where("text IS NOT NULL").join(F.broadcast(known), "doc_id")  # about max_rows ids at every size
     stats = statistics(F.col("text"))
     got = rows.select("doc_id", "bad", *(c.alias(k) for k, c in stats.items())).toPandas().sort_values(["doc_id", *stats], kind="stable")
     if got.empty:
