@@ -89,9 +89,9 @@ def test_one_of_each_group_stays(edge, empty, docs, texts):
     assert kept.columns == edge.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 5, 7, 8, 9, 10, 11]
     assert keep_one_of_each_group(empty).count() == 0
-    label = {i: i for i in texts}
+    label, pairs = {i: i for i in texts}, brute(texts.items())
     for _ in range(len(texts)):
-        for a, b in brute(texts.items()):
+        for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     assert {r.doc_id for r in keep_one_of_each_group(docs).collect()} == {i for i in texts if label[i] == i}
 

@@ -17,9 +17,9 @@ def test_stages_are_the_operators(spark, sf, docs):
     known = {r.doc_id for r in identify_language(left, fit_language_filters(left)).where("keep").collect()}
     left = left.where(F.col("doc_id").isin(list(known)))
     texts = {r.doc_id: r.text for r in left.collect()}
-    label = {i: i for i in texts}
+    label, pairs = {i: i for i in texts}, brute(texts.items())
     for _ in range(len(texts)):
-        for a, b in brute(texts.items()):
+        for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     left = left.where(F.col("doc_id").isin([i for i in texts if label[i] == i]))
     clean = {r.doc_id: r.text for r in redact_pii(left).collect()}
