@@ -6,6 +6,7 @@ text in lower case. Words and n-grams are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,17 @@ WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _powers = np.ones(1, np.uint64)
 
 
+def steady_memory() -> None:
+    """Large arrays go back to the system when they are freed, so that a worker that runs many steps holds no more than one needs. Without glibc nothing changes."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))

@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.arrays import mix, ngram_hashes, runs, sliced, utf8, word_hashes
+from loam.llm.arrays import mix, ngram_hashes, runs, sliced, steady_memory, utf8, word_hashes
 from loam.llm.common import pick, small, written
 
 HASH_BITS = 56
 RANK_BITS = 27
-CHUNK_NGRAMS = 1_500_000
+CHUNK_NGRAMS = 1_000_000
 CHUNK_DOCS = 60_000
 BUCKET_BYTES = 8_000_000
 HOME_DOCS = 1024
@@ -100,6 +100,7 @@ def _scatter(n: int, buckets: int):
         return _routed(rows)
 
     def run(batches):
+        steady_memory()
         base, seq = TaskContext.get().partitionId() << 22, 0
         ids, grams, counts, held = [], [], [], 0
         for batch in batches:
@@ -144,6 +145,7 @@ def _grouped(batches, column: int):
 
 def _frequencies(batches):
     """A bucket's n-grams that several documents have, sent back to the chunks they came from."""
+    steady_memory()
     for route, rows in _grouped(batches, 0):
         if route < 0:
             yield _routed(rows)
@@ -182,6 +184,7 @@ def _lists(threshold: float, homes: int):
     """A chunk's documents that may have a partner, with their ranked shared n-grams."""
 
     def run(batches):
+        steady_memory()
         for chunk, rows in _grouped(batches, 1):
             meta = next(np.frombuffer(blob, np.int64).reshape(4, -1) for route, _, blob in rows if route < 0)
             docs, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
@@ -300,6 +303,7 @@ def _candidates(threshold: float, most: int = 4_000_000):
         return keys[np.append(True, pair[1:] != pair[:-1])] if len(keys) else keys
 
     def run(batches):
+        steady_memory()
         for _, rows in _grouped(batches, 0):
             parts: list[list[np.ndarray]] = [[], [], [], [], []]
             for _, _, blob in rows:
