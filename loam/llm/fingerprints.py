@@ -55,8 +55,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def blocks_for(n: int, radius: int) -> int:
-    """The fewest blocks whose keys are so wide that n fingerprints seldom share one by chance."""
-    return next((b for b in range(radius + 1, 65) if n <= 2 ** (64 * (b - radius) / b) or comb(b, radius) > 400), radius + 1)
+    """The fewest blocks whose keys are so wide that n fingerprints seldom share one by chance, or as many as are worth their tables."""
+    return next((b for b in range(radius + 1, 65) if n <= 2 ** (64 * (b - radius) / b) or comb(b, radius) > max(400, n // 1000)), radius + 1)
 
 
 def table_masks(blocks: int, radius: int) -> list[int]:
@@ -66,19 +66,52 @@ def table_masks(blocks: int, radius: int) -> list[int]:
     return [signed(sum(block[i] for i in chosen)) for chosen in combinations(range(blocks), blocks - radius)]
 
 
+def _within(radius: int, blocks: int):
+    """Pairs of the fingerprints of one group, all alike in block `at`, whose first common block that is."""
+    masks = np.array(table_masks(blocks, radius), np.int64).view(np.uint64)
+    edges = [64 * i // blocks for i in range(blocks)]
+
+    def pairs(table: pa.Table) -> pa.Table:
+        at = table.column("at")[0].as_py()
+        low = np.uint64((1 << edges[at]) - 1)
+        x = table.column("fingerprint").to_numpy().view(np.uint64)
+        out = [np.empty((0, 2), np.int64)]
+        for mask in masks[((masks & low) == 0) & ((masks >> np.uint64(edges[at])) & np.uint64(1) == 1)]:
+            key = x & mask
+            order = np.argsort(key)
+            key, y = key[order], x[order]
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(y))
+            later = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(y)) - 1
+            total = np.concatenate([[0], np.cumsum(later)])
+            first = 0
+            while total[first] < total[-1]:  # some 250,000 pairs at a time
+                end = max(first + 1, int(np.searchsorted(total, total[first] + 250_000, "right")) - 1)
+                left = np.repeat(np.arange(first, end), later[first:end])
+                right = left + 1 + np.arange(len(left)) - (total[left] - total[first])
+                near = np.flatnonzero(np.bitwise_count(y[left] ^ y[right]) <= radius)
+                out.append(np.stack([y[left[near]], y[right[near]]], axis=1).view(np.int64))
+                first = end
+        found = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        differ = (found[:, 0] ^ found[:, 1]).view(np.uint64)
+        new = np.all([differ & np.uint64((1 << b) - (1 << a)) != 0 for a, b in zip(edges[:at], edges[1:])], axis=0) if at else np.ones(len(found), bool)
+        return pa.table({"a": found[new, 0], "b": found[new, 1], "distance": np.bitwise_count(differ[new]).astype(np.int32)})
+
+    return pairs
+
+
 def near_fingerprints(marks: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b, distance) of all distinct fingerprints a < b that differ in 1 to `radius` bits. marks: distinct fingerprints."""
-    masks = table_masks(blocks_for(marks.count(), radius), radius)
-    tables = F.array(*(F.lit(m).cast("long") for m in masks))
-    keyed = marks.select("fingerprint", F.posexplode(tables).alias("at", "mask")).select("at", "fingerprint", F.expr("fingerprint & mask").alias("key"))
-    a = keyed.select("at", "key", F.col("fingerprint").alias("a"))
-    b = keyed.select("at", "key", F.col("fingerprint").alias("b"))
-    found = a.join(b, ["at", "key"]).where("a < b").withColumn("distance", F.bit_count(F.expr("a ^ b"))).where(F.col("distance") <= radius)
-    earlier = F.exists(F.slice(tables, 1, F.col("at")), lambda m: F.expr("a ^ b").bitwiseAND(m) == 0)
-    return found.where(~earlier).select("a", "b", "distance")  # each pair from its first table alone
-
-
-def simhash_neighbours(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", terms: int = 2) -> DataFrame:
+    """(a, b, distance) of all distinct fingerprints a < b that differ in 1 to `radius` bits. marks: distinct fingerprints.
+
+    All tables whose key begins with the same block are made in one task for each value of
+    that block, so that a fingerprint is sent once for each first block, not for each table.
+    """
+    blocks = blocks_for(marks.count(), radius)
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    firsts = F.array(*(F.struct(F.lit(i).alias("at"), F.shiftrightunsigned("fingerprint", edges[i]).bitwiseAND(F.lit((1 << edges[i + 1] - edges[i]) - 1).cast("long")).alias("value")) for i in range(radius + 1)))
+    return marks.select("fingerprint", F.inline(firsts)).groupBy("at", "value").applyInArrow(_within(radius, blocks), "a long, b long, distance int")
+
+
+def simhash_neighbours(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", terms: int = 2, wide: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, first_doc_id, near) of every row.
 
     first_doc_id is the lowest id with the same fingerprint. On that document's row, near
@@ -88,11 +121,15 @@ def simhash_neighbours(docs: DataFrame, radius: int = 3, id_col: str = "doc_id",
     id stay apart, each with its own fingerprint. Rows with a NULL id get a fingerprint and
     a first_doc_id, but are never first unless all of the fingerprint's ids are NULL; such
     a fingerprint is in no list. Empty tables give empty results.
+
+    A changed word changes two terms, so most near copies differ in more than 3 bits. With
+    `wide`, a column near_copies lists those within that larger radius in the same way.
     """
     marks = written(fingerprint(docs, id_col, text_col, terms).select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint"))
     first = written(marks.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc_id")))
-    pairs = written(near_fingerprints(first.select("fingerprint"), radius))
-    both = pairs.select(F.col("a").alias("fingerprint"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("fingerprint"), F.col("a").alias("other")))
-    near = both.join(first.select(F.col("fingerprint").alias("other"), F.col("first_doc_id").alias("id")), "other").groupBy("fingerprint").agg(F.array_sort(F.collect_list("id")).alias("near"))
-    groups = first.join(near, "fingerprint", "left").select("fingerprint", "first_doc_id", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
-    return marks.join(groups, "fingerprint", "left").select("doc_id", "fingerprint", "first_doc_id", F.when(F.col("doc_id") == F.col("first_doc_id"), F.col("near")).alias("near"))
+    pairs = written(near_fingerprints(first.select("fingerprint"), max(radius, wide or 0)))
+    lists = {"near": radius} | ({} if wide is None else {"near_copies": wide})
+    both = pairs.select(F.col("a").alias("fingerprint"), F.col("b").alias("other"), "distance").unionByName(pairs.select(F.col("b").alias("fingerprint"), F.col("a").alias("other"), "distance"))
+    near = both.join(first.select(F.col("fingerprint").alias("other"), F.col("first_doc_id").alias("id")), "other").groupBy("fingerprint").agg(*(F.array_sort(F.collect_list(F.when(F.col("distance") <= r, F.col("id")))).alias(c) for c, r in lists.items()))
+    groups = first.join(near, "fingerprint", "left").select("fingerprint", "first_doc_id", *(F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in lists))
+    return marks.join(groups, "fingerprint", "left").select("doc_id", "fingerprint", "first_doc_id", *(F.when(F.col("doc_id") == F.col("first_doc_id"), F.col(c)).alias(c) for c in lists))

@@ -40,7 +40,7 @@ QUERIES = {
     "op3_packing": lambda spark, sf_dir: pack_windows(documents(spark, sf_dir)),
     "op4_pii": lambda spark, sf_dir: redact_pii(documents(spark, sf_dir)),
     "op5_ngram_jaccard_join": lambda spark, sf_dir: ngram_jaccard_pairs(documents(spark, sf_dir)),
-    "op6_fingerprints": lambda spark, sf_dir: simhash_neighbours(documents(spark, sf_dir)),
+    "op6_fingerprints": lambda spark, sf_dir: simhash_neighbours(documents(spark, sf_dir), wide=12),
     "op7_bpe": lambda spark, sf_dir: encode_and_decode(documents(spark, sf_dir)),
     "op8_huffman": lambda spark, sf_dir: huffman_blocks(documents(spark, sf_dir)),
     "op9_quality_rules": _quality,

@@ -50,6 +50,33 @@ def test_all_within_the_radius(spark):
         assert pairs == want
 
 
+def test_query_finds_jaccard_near_copies(spark, sf, texts):
+    """Of the pairs that share half of their 3-grams or more (without equal sets), nearly all are in the query's wide lists."""
+    grams = {i: set(ngram_hashes(*word_hashes(*utf8(pa.array([t or ""]), lower=True)), 3)[0].tolist()) for i, t in texts.items()}
+    ids = sorted(i for i in grams if grams[i])
+    copies = [(a, b) for a in ids for b in ids if a < b and grams[a] != grams[b] and 2 * len(both := grams[a] & grams[b]) >= len(grams[a]) + len(grams[b]) - len(both)]
+    rows = {r.doc_id: r for r in QUERIES["op6_fingerprints"](spark, sf).collect()}
+    mark = {i: rows[i].fingerprint for i in ids}
+    listed = lambda a, b: mark[a] == mark[b] or rows[b].first_doc_id in rows[rows[a].first_doc_id].near_copies
+    assert copies and sum(listed(a, b) for a, b in copies) >= 0.8 * len(copies)
+    assert all(set(r.near) <= set(r.near_copies) for r in rows.values() if r.near is not None)
+    firsts = {r.first_doc_id: r.fingerprint for r in rows.values() if r.fingerprint is not None}
+    for i, m in firsts.items():
+        assert rows[i].near_copies == sorted(o for o, n in firsts.items() if n != m and bin((n ^ m) & (2**64 - 1)).count("1") <= 12)
+
+
+def test_wide_radius_against_brute_force(spark):
+    random = np.random.default_rng(9)
+    base = random.integers(-(2**63), 2**63, 60, dtype=np.int64)
+    flips = np.bitwise_or.reduce(np.int64(1) << random.integers(0, 64, (60, 14)), axis=1)
+    marks = np.unique(np.concatenate([base, base ^ flips, random.integers(-(2**63), 2**63, 700, dtype=np.int64)]))
+    rows = near_fingerprints(spark.createDataFrame([(m,) for m in marks.tolist()], "fingerprint long"), 12).collect()
+    far = np.bitwise_count((marks[:, None] ^ marks[None]).view(np.uint64))
+    a, b = np.nonzero(np.triu(far <= 12, 1))
+    want = {(int(x), int(y)): int(d) for x, y, d in zip(marks[a], marks[b], far[a, b])}
+    assert want and len(rows) == len(want) and {(r.a, r.b): r.distance for r in rows} == want
+
+
 def test_tables_grow_with_the_corpus():
     assert [blocks_for(n, 3) for n in (0, 1000, 250_000, 10**9, 5 * 10**10)] == [4, 4, 5, 6, 7]
     assert all(len(table_masks(b, 3)) == n for b, n in ((4, 4), (5, 10), (6, 20)))
