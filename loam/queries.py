@@ -228,7 +228,7 @@ def semantic_pairs_lsh(spark, sf_dir):
 
 @query
 def two_phase_dedup(spark, sf_dir):
-    c = chunks(spark, sf_dir).join(_vectors(spark, sf_dir).withColumnRenamed("ordinal", "vec"), F.col("ordinal") == F.col("vec")).drop("vec")
+    c = chunks(spark, sf_dir).join(_vectors(spark, sf_dir).withColumnRenamed("ordinal", "vec"), F.col("ordinal") == F.col("vec"), "left").drop("vec")
     return dedup.two_phase(c, 0.4)
 
 
