@@ -25,3 +25,8 @@ def docs(*texts):
 def test_two_phase_dedup_hashes_documents_without_vectors(run):
     rows = run("two_phase_dedup", documents=docs("a b", "c d", "e f", "a  b", "g h", "g h"), embeddings=([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>"))
     assert sorted((r.ordinal, r.removed_by) for r in rows) == [(2, "semantic"), (3, "hash"), (5, "hash")]
+
+
+def test_dedup_alerts_counts_whole_texts(run):
+    assert run("dedup_alerts", documents=docs("the one", "the two", "the three", "the four")) == []
+    assert [r.message for r in run("dedup_alerts", documents=docs("the one", "the  one", "the three", "the four"))] == ["1 of 4 items are duplicates"]
