@@ -154,19 +154,20 @@ def ingest_gate(spark, sf_dir):
     return retrieval.ingest_gate(profile.document_profile(files(spark, sf_dir), as_of())).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _names(spark, sf_dir):
+    """Files of all documents, and the sources in the store of all embeddings."""
+    return table(spark, sf_dir, "documents").selectExpr("concat('kb/', source, '/', doc_id, '.md') AS name"), table(spark, sf_dir, "embeddings").selectExpr("concat('/mnt/', vec_id, '.md') AS source")
+
+
 @query
 def file_store_consistency(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    names = docs.where("doc_id % 3 <> 0").selectExpr("concat('kb/', source, '/', doc_id % 500, '.md') AS name")
-    sources = docs.where("doc_id % 5 <> 0").selectExpr("concat('/mnt/', doc_id % 500, '.md') AS source")
-    return rounded(profile.name_consistency(names, sources))
+    return rounded(profile.name_consistency(*_names(spark, sf_dir)))
 
 
 @query
 def orphan_names(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    names = docs.where("doc_id % 3 <> 0").selectExpr("concat('kb/', source, '/', doc_id, '.md') AS name")
-    sources = docs.where("doc_id % 5 <> 0").selectExpr("concat('/mnt/', doc_id, '.md') AS name")
+    names, sources = _names(spark, sf_dir)
+    sources = sources.withColumnRenamed("source", "name")
     left = profile.orphans(names, sources, limit=None).withColumn("side", F.lit("file"))
     return left.unionByName(profile.orphans(sources, names, limit=None).withColumn("side", F.lit("store")))
 

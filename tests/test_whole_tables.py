@@ -30,3 +30,11 @@ def test_two_phase_dedup_hashes_documents_without_vectors(run):
 def test_dedup_alerts_counts_whole_texts(run):
     assert run("dedup_alerts", documents=docs("the one", "the two", "the three", "the four")) == []
     assert [r.message for r in run("dedup_alerts", documents=docs("the one", "the  one", "the three", "the four"))] == ["1 of 4 items are duplicates"]
+
+
+def test_names_of_whole_tables_are_compared(run):
+    tables = {"documents": docs(*["a"] * 1200), "embeddings": ([(i, [1.0]) for i in range(200, 1203)], "vec_id long, embedding array<float>")}
+    (row,) = run("file_store_consistency", **tables)
+    assert (row.overlap, row.orphan_files, row.orphan_sources) == (1000, 200, 3)
+    orphans = sorted((r.side, r.name) for r in run("orphan_names", **tables))
+    assert orphans == sorted([*(("file", f"{i}.md") for i in range(200)), *(("store", f"{i}.md") for i in range(1200, 1203))])
