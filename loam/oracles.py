@@ -147,6 +147,8 @@ _PASSES = "coalesce(quality_score, 1.0) >= 0.8 AND NOT coalesce(is_quarantined,
 LINES = """lines AS (SELECT conv_id, turn, conv_id % 7 = 0 AS bad, conv_id % 5 = 0 AS roleless, conv_id % 3 = 0 AS empty, CASE WHEN conv_id % 7 = 0 THEN '{bad ' || turn WHEN conv_id % 5 = 0 THEN '{"content":"m' || turn || '"}' WHEN conv_id % 3 = 0 THEN '{"role":"' || role || '","content":""}' ELSE '{"role":"' || role || '","text":"m' || turn || '"}' END AS line FROM conversations),
 parsed AS (SELECT *, json_valid(line) AS ok, CASE WHEN json_valid(line) THEN line END AS j FROM lines)"""
 
+FILE_NAMES, STORE_NAMES = "SELECT doc_id || '.md' FROM documents", "SELECT vec_id || '.md' FROM embeddings"
+
 SECTIONS = "((contains(lower(text), 'license')::INTEGER + contains(lower(text), 'the')::INTEGER + contains(lower(text), 'und ')::INTEGER)::DOUBLE / 3)"
 
 SQL: dict[str, str] = {
@@ -177,8 +179,8 @@ UNION ALL SELECT 'validity', round(validity, 6), 0, 0 FROM profile
 UNION ALL SELECT 'consistency', round(overlap::DOUBLE / names, 6), 0, (overlap::DOUBLE / names < 0.8)::BIGINT FROM same
 UNION ALL SELECT 'timeliness', round(avg(timeliness), 6), 0, 0 FROM docs""",
     "ingest_gate": f"WITH {DOCS} SELECT CASE WHEN overall >= 0.3 THEN 'ingest' ELSE 'reject' END AS verdict, count(*) AS n FROM docs GROUP BY 1",
-    "file_store_consistency": f"WITH {consistency('SELECT (doc_id % 500)' + chr(39).join([' || ', '.md', ' FROM documents WHERE doc_id % 3 <> 0']), 'SELECT (doc_id % 500)' + chr(39).join([' || ', '.md', ' FROM documents WHERE doc_id % 5 <> 0']))} SELECT overlap, orphan_files, orphan_sources, round(overlap::DOUBLE / names, 6) AS score FROM same",
-    "orphan_names": "WITH a AS (SELECT DISTINCT doc_id || '.md' AS name FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT DISTINCT doc_id || '.md' AS name FROM documents WHERE doc_id % 5 <> 0) SELECT name, 'file' AS side FROM a WHERE name NOT IN (FROM b) UNION ALL SELECT name, 'store' FROM b WHERE name NOT IN (FROM a)",
+    "file_store_consistency": f"WITH {consistency(FILE_NAMES, STORE_NAMES)} SELECT overlap, orphan_files, orphan_sources, round(overlap::DOUBLE / names, 6) AS score FROM same",
+    "orphan_names": f"WITH a AS (SELECT DISTINCT name FROM ({FILE_NAMES}) AS x(name)), b AS (SELECT DISTINCT name FROM ({STORE_NAMES}) AS x(name)) SELECT name, 'file' AS side FROM a WHERE name NOT IN (FROM b) UNION ALL SELECT name, 'store' FROM b WHERE name NOT IN (FROM a)",
     "exact_dup_rows": f"WITH {DUPLICATES} SELECT *, count(*) OVER (PARTITION BY hash) AS group_size, row_number() OVER (PARTITION BY hash ORDER BY ordinal) = 1 AS is_keep FROM h",
     "exact_dup_groups": f"WITH {DUPLICATES} SELECT hash, arg_min(chunk_id, ordinal) AS keep_id, array_to_string(list(chunk_id ORDER BY ordinal)[2:], ',') AS remove_ids FROM h GROUP BY hash HAVING count(*) > 1",
     "exact_dup_stats": f"WITH {DUPLICATES} SELECT {STATS.replace('duplicate_ratio', 'r')} FROM h".replace("(count(*) - count(DISTINCT hash))::DOUBLE / count(*) AS r", "round((count(*) - count(DISTINCT hash))::DOUBLE / count(*), 6) AS duplicate_ratio"),
@@ -187,7 +189,7 @@ UNION ALL SELECT 'timeliness', round(avg(timeliness), 6), 0, 0 FROM docs""",
     "dedup_survivors": f"WITH {DUPLICATES} SELECT min(ordinal) AS ordinal, arg_min(chunk_id, ordinal) AS chunk_id FROM h GROUP BY hash",
     "semantic_pairs": f"WITH {pairs(0.4)} SELECT a, b, round(similarity, 5) AS similarity FROM pairs",
     "semantic_groups": f'WITH RECURSIVE {pairs(0.4)}, {GROUPS} SELECT component AS "group", node AS ordinal, node = component AS is_keep FROM components',
-    "two_phase_dedup": f"""WITH RECURSIVE {DUPLICATES}, c AS (SELECT h.* FROM h JOIN embeddings ON vec_id = ordinal), gone AS (SELECT ordinal FROM (SELECT ordinal, row_number() OVER (PARTITION BY hash ORDER BY ordinal) AS k FROM c) WHERE k > 1),
+    "two_phase_dedup": f"""WITH RECURSIVE {DUPLICATES}, c AS (SELECT * FROM h), gone AS (SELECT ordinal FROM (SELECT ordinal, row_number() OVER (PARTITION BY hash ORDER BY ordinal) AS k FROM c) WHERE k > 1),
 v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE vec_id IN (SELECT ordinal FROM c) AND vec_id NOT IN (FROM gone)),
 pairs AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id < y.id WHERE list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.4), {GROUPS}
 SELECT ordinal, 'hash' AS removed_by FROM gone UNION ALL SELECT node, 'semantic' FROM components WHERE node <> component""",
@@ -196,7 +198,7 @@ SELECT ordinal, 'hash' AS removed_by FROM gone UNION ALL SELECT node, 'semantic'
     "validate_summary": f"WITH {CHECKED} SELECT * REPLACE (round(pass_rate, 6) AS pass_rate) FROM (SELECT {SUMMARY} FROM results)",
     "validate_failures_by_rule": f"WITH {CHECKED} SELECT rule_name, count(*) AS failures FROM results WHERE NOT passed GROUP BY 1",
     "validate_first_failures": f"WITH {CHECKED} SELECT ordinal, rule_name FROM results WHERE NOT passed ORDER BY ordinal, rule_name LIMIT 50",
-    "validate_fail_fast": f"WITH r AS (SELECT doc_id AS ordinal, t AS content, source, length({strip('t')}) AS sn FROM (SELECT *, CASE WHEN doc_id % 97 = 96 THEN ' ' ELSE text END AS t FROM documents)), {RULES} SELECT ordinal, rule_name, passed FROM results WHERE ordinal <= coalesce((SELECT min(ordinal) FROM results WHERE NOT passed AND severity = 'error'), ordinal)",
+    "validate_fail_fast": f"WITH r AS (SELECT doc_id AS ordinal, t AS content, source, length({strip('t')}) AS sn FROM (SELECT *, text AS t FROM documents)), {RULES} SELECT ordinal, rule_name, passed FROM results WHERE ordinal <= coalesce((SELECT min(ordinal) FROM results WHERE NOT passed AND severity = 'error'), ordinal)",
     "validate_chat": f"WITH {LINES} SELECT conv_id, turn, 'jsonl_valid' AS rule_name, ok AS passed FROM parsed UNION ALL SELECT conv_id, turn, 'message_has_role', coalesce(json_exists(j, '$.role'), false) FROM parsed UNION ALL SELECT conv_id, turn, 'message_has_content', coalesce(json_extract_string(j, '$.content'), '') <> '' OR coalesce(json_extract_string(j, '$.text'), '') <> '' FROM parsed",
     "validate_memory": f"WITH n AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN E'intro\\n## ' || text ELSE text END AS c FROM documents) SELECT doc_id, 'memory_not_empty' AS rule_name, length({strip('c')}) > 0 AS passed, 'warning' AS severity FROM n UNION ALL SELECT doc_id, 'memory_has_structure', regexp_matches(c, '(?m)^#+[{WS}]'), 'info' FROM n",
     "validate_files": "WITH n AS (SELECT page_id, (['.md', '.TXT', '.html', '.pdf'])[page_id % 4 + 1] AS ext, strlen(html) AS size FROM pages) SELECT page_id, 'file_exists' AS rule_name, page_id % 9 <> 0 AS passed FROM n UNION ALL SELECT page_id, 'file_not_empty', size > 0 FROM n UNION ALL SELECT page_id, 'file_supported_format', ext <> '.html' FROM n UNION ALL SELECT page_id, 'file_size_reasonable', size < 8000 FROM n UNION ALL SELECT page_id, 'file_utf8_readable', true FROM n",
@@ -211,8 +213,8 @@ SELECT ordinal, 'hash' AS removed_by FROM gone UNION ALL SELECT node, 'semantic'
     "lineage_stats": f"WITH {NODES} SELECT 'node' AS kind, node_type AS name, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', operation, count(*) FROM edges GROUP BY 2",
     "lineage_orphans": f"WITH {NODES} SELECT id, src AS source FROM nodes WHERE node_type = 'transform' AND src NOT IN (SELECT 'nation:' || n_nationkey FROM nation WHERE n_regionkey < 3)",
     "lineage_mermaid": f"""WITH {NODES} SELECT 0 AS part, 0::BIGINT AS seq, 'graph LR' AS line
-UNION ALL SELECT 1, seq, CASE WHEN node_type = 'source' THEN format('    {{}}(["{{}}"])', replace(id, ':', '_'), name) ELSE format('    {{}}["{{}}"]', replace(id, ':', '_'), name) END FROM nodes WHERE node_type <> 'storage'
-UNION ALL SELECT 2, seq, format('    {{}} -->|{{}}| {{}}', replace(source, ':', '_'), operation, replace(target, ':', '_')) FROM edges WHERE operation = 'chunk'""",
+UNION ALL SELECT 1, seq, format(CASE node_type WHEN 'source' THEN '    {{}}(["{{}}"])' WHEN 'storage' THEN '    {{}}[("{{}}")]' ELSE '    {{}}["{{}}"]' END, replace(id, ':', '_'), name) FROM nodes
+UNION ALL SELECT 2, seq, format('    {{}} -->|{{}}| {{}}', replace(source, ':', '_'), operation, replace(target, ':', '_')) FROM edges""",
     "lineage_first_nodes": "SELECT 'source' AS node_type, count(DISTINCT source) AS n, min(doc_id) AS first_seq FROM documents UNION ALL SELECT 'storage', 1, min(doc_id) FROM documents UNION ALL SELECT 'transform', count(DISTINCT doc_id), min(doc_id) FROM documents",
     "web_cache_lineage": "SELECT 'node' AS kind, 'source' AS name, count(DISTINCT url) AS n FROM pages UNION ALL SELECT 'node', 'transform', count(*) FROM pages UNION ALL SELECT 'node', 'storage', 1 UNION ALL SELECT 'edge', 'fetch_cache', count(*) FROM pages UNION ALL SELECT 'edge', 'ingest', count(*) FROM pages",
     "health_components": f"WITH {SIGNALS} SELECT name, round(score, 6) AS score, weight FROM components",
@@ -221,7 +223,7 @@ UNION ALL SELECT 2, seq, format('    {{}} -->|{{}}| {{}}', replace(source, ':',
 SELECT 'health' AS kind, CASE WHEN overall < 0.4 THEN 'critical' ELSE 'warning' END AS level, 'Health below the threshold' AS title, 'Health is ' || printf('%.1f%%', overall * 100) || ', the threshold 95.0%' AS message FROM o WHERE overall < 0.95
 UNION ALL SELECT 'component_' || name, 'warning', 'Low score: ' || name, name || ' is at ' || printf('%.1f%%', score * 100) FROM c WHERE score < 0.5""",
     "freshness_alerts": f"WITH {RECORDS}, s AS (SELECT {FRESH} FROM records) SELECT 'freshness_expired' AS kind, 'warning' AS level, expired_count || ' of ' || total || ' assets have expired' AS message FROM s WHERE expired_count > 0 UNION ALL SELECT 'freshness_stale', 'warning', stale_count || ' of ' || total || ' assets are stale' FROM s WHERE stale_count > total * 0.3",
-    "dedup_alerts": f"WITH h AS (SELECT md5({normal('substring(text, 1, 3)')}) AS hash FROM documents), s AS (SELECT {STATS} FROM h) SELECT 'dedup' AS kind, 'warning' AS level, duplicate_count || ' of ' || total_items || ' items are duplicates' AS message FROM s WHERE duplicate_ratio > 0.1",
+    "dedup_alerts": f"WITH h AS (SELECT md5({normal('text')}) AS hash FROM documents), s AS (SELECT {STATS} FROM h) SELECT 'dedup' AS kind, 'warning' AS level, duplicate_count || ' of ' || total_items || ' items are duplicates' AS message FROM s WHERE duplicate_ratio > 0.1",
     "alert_summary": "SELECT count(*) AS total, count(*) FILTER (event_id % 3 = 2) AS critical, count(*) FILTER (event_id % 3 = 1) AS warning, count(*) FILTER (event_id % 3 = 0) AS info FROM events WHERE event_id % 4 <> 0",
     "health_trend": f"WITH {TREND} SELECT * FROM trend",
     "decisions": f"WITH {SIGNALS} SELECT seq, decision_type, severity, confidence, trigger FROM decisions",

@@ -258,8 +258,7 @@ def validate_first_failures(spark, sf_dir):
 
 @query
 def validate_fail_fast(spark, sf_dir):
-    c = chunks(spark, sf_dir).withColumn("content", F.when(F.col("ordinal") % 97 == 96, " ").otherwise(F.col("content")))
-    return rules.stop_after_error(rules.validate(c, rules.chunk_rules(), ["ordinal"])).select("ordinal", "rule_name", "passed")
+    return rules.stop_after_error(rules.validate(chunks(spark, sf_dir), rules.chunk_rules(), ["ordinal"])).select("ordinal", "rule_name", "passed")
 
 
 LINE = "CASE WHEN conv_id % 7 = 0 THEN concat('{bad ', turn) WHEN conv_id % 5 = 0 THEN concat('{\"content\":\"m', turn, '\"}') WHEN conv_id % 3 = 0 THEN concat('{\"role\":\"', role, '\",\"content\":\"\"}') ELSE concat('{\"role\":\"', role, '\",\"text\":\"m', turn, '\"}') END"
@@ -357,8 +356,7 @@ def lineage_orphans(spark, sf_dir):
 
 @query
 def lineage_mermaid(spark, sf_dir):
-    nodes, edges = _lineage(spark, sf_dir)
-    return lineage.mermaid(nodes.where("node_type <> 'storage'"), edges.where("operation = 'chunk'"))
+    return lineage.mermaid(*_lineage(spark, sf_dir))
 
 
 @query
