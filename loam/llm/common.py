@@ -25,21 +25,4 @@ def small(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
 
 
-def strings(values) -> list[str | None]:
-    """A pandas string column as Python strings, missing values as None."""
-    return [x if isinstance(x, str) else None for x in values.tolist()]
-
-
-def slices(texts: list[str | None], most_chars: int = 2_000_000):
-    """(start, end) of runs of texts that together hold about most_chars; one text is never cut."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= most_chars:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-__all__ = ["TOKENIZERS", "WORD_VOCABULARY", "pick", "quoted", "shared_dir", "slices", "small", "strings", "written"]
+__all__ = ["TOKENIZERS", "WORD_VOCABULARY", "pick", "quoted", "shared_dir", "small", "written"]

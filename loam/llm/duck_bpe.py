@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loam.llm.arrays import runs
+from loam.llm.arrays import runs, sliced, steady_memory, utf8
 from loam.llm.bpe import LONG, Merges, Pieces, load_ranks
 from loam.llm.common import WORD_VOCABULARY, pick, quoted
 
@@ -47,30 +47,32 @@ class DuckBpe:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         del merges, vocabulary
+        self.known = np.zeros(max(ids) + 1, bool)
+        self.known[ids] = True
         self.pieces = Pieces(self.table.ranks, self.merge)
 
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in a row, and where each word's begin (one more at the end).
+    def merge(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (their bytes in a row) in a row, and where each word's begin (one more at the end).
 
-        Words of LONG bytes or more take as many rounds over as many rows: those are merged
-        pair by pair on a heap instead, with the same result.
+        A recursion over a word of LONG bytes or more would take as many rounds over as many rows:
+        those are merged rank by rank on arrays instead, with the same result.
         """
-        sizes = np.array([len(w) for w in words], np.int64)
-        found, counts = [], np.zeros(len(words), np.int64)
-        for a in range(0, len(words), self.words_at_once):
-            some = np.arange(a, min(len(words), a + self.words_at_once))
-            long = some[sizes[some] > LONG - 1]
-            short = some[sizes[some] <= LONG - 1]
-            heap = [self.table.by_heap(words[i]) for i in long]
-            w = [np.repeat(long, np.array(list(map(len, heap)), np.int64))]
-            t = [np.array([i for x in heap for i in x], np.int32)]
+        begins = np.append(0, np.cumsum(sizes))
+        found, counts = [], np.zeros(len(sizes), np.int64)
+        for a in range(0, len(sizes), self.words_at_once):
+            some = np.arange(a, min(len(sizes), a + self.words_at_once))
+            long = some[sizes[some] >= LONG]
+            short = some[sizes[some] < LONG]
+            merged = [self.table.by_ranks(data[begins[i] : begins[i + 1]]) for i in long]
+            w = [np.repeat(long, np.array(list(map(len, merged)), np.int64))]
+            t = [np.empty(0, np.int32), *merged]
             if len(short):
                 n = sizes[short]
-                at = np.repeat(short * 256 - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                last = np.cumsum(n) - 1
+                inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(short * 256, n) + inner
                 after = at + 1
-                after[last] = -1  # no token begins there
-                seed = pa.table({"k": at, "n": after, "t": self.table.of_byte[np.frombuffer(b"".join([words[i] for i in short]), np.uint8)]})
+                after[np.cumsum(n) - 1] = -1  # no token begins there
+                seed = pa.table({"k": at, "n": after, "t": self.table.of_byte[data[np.repeat(begins[short], n) + inner]]})
                 self.db.register("seed", seed)
                 got = self.db.execute(_CONTRACT).fetchnumpy()
                 self.db.unregister("seed")
@@ -80,25 +82,23 @@ class DuckBpe:
             if len(long):
                 order = np.argsort(w, kind="stable")
                 w, t = w[order], t[order]
-            counts += np.bincount(w, minlength=len(words))
+            counts += np.bincount(w, minlength=len(sizes))
             found.append(t.astype(np.int32))
         return np.concatenate([np.empty(0, np.int32), *found]), np.append(0, np.cumsum(counts))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.pieces.ids(texts)
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.pieces.ids(data, offsets)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids. An id that the vocabulary lacks is an error."""
-        known = np.zeros(max(int(ids.max(initial=0)), max(self.table.bytes_of)) + 1, bool)
-        known[list(self.table.bytes_of)] = True
-        if len(ids) and (ids.min() < 0 or not known[ids].all()):
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all()):
             raise ValueError("an id is not in the vocabulary")
         rows = pa.table({"d": np.repeat(np.arange(len(counts), dtype=np.int32), counts), "p": np.arange(len(ids), dtype=np.int32), "t": ids.astype(np.int32)})
         self.db.register("ids", rows)
-        got = self.db.execute(_DECODE).fetchall()
+        got = self.db.sql(_DECODE).to_arrow_table()
         self.db.unregister("ids")
         out = [b""] * len(counts)
-        for d, s in got:
+        for d, s in zip(got.column("d").to_pylist(), got.column("s").to_pylist()):
             out[d] = s.encode("latin-1")
         return out
 
@@ -116,12 +116,15 @@ def _kind(df: DataFrame, column: str) -> str:
     return df.select(quoted(column)).dtypes[0][1]
 
 
-def _texts(batch: pa.RecordBatch, column: int, most: int):
-    """(first, end, texts) of slices of a batch's texts; NULL as ""."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    offsets = np.append(0, np.cumsum([len(t) for t in texts]))
-    for first, end in runs(offsets, most):
-        yield first, end, texts[first:end]
+#: Bytes of text that are worked on at once; one text is never cut.
+AT_ONCE = 1_000_000
+
+
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]], texts: pa.Array) -> pa.Array:
+    """The ids of a batch's texts as lists; NULL for NULL."""
+    flat = np.concatenate([np.empty(0, np.int32), *(ids for ids, _ in parts)])
+    ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(n for _, n in parts)]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=texts.is_null())
 
 
 def encode_bpe(docs: DataFrame, vocabulary: str = WORD_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,16 +135,12 @@ def encode_bpe(docs: DataFrame, vocabulary: str = WORD_VOCABULARY, id_col: str =
     """
 
     def run(batches):
+        steady_memory()
         duck = held_duck(vocabulary)
         for batch in batches:
-            flat, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-            for _, _, texts in _texts(batch, 1, 4_000_000):
-                ids, n = duck.encode(texts)
-                flat.append(ids)
-                counts.append(n)
-            ends = np.append(0, np.cumsum(np.concatenate(counts)))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)), mask=batch.column(1).is_null())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
+            data, offsets = utf8(batch.column(1))
+            parts = [duck.encode(*sliced(data, offsets, a, b)) for a, b in runs(offsets, AT_ONCE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(parts, batch.column(1))], ["doc_id", "ids"])
 
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {_kind(docs, id_col)}, ids array<int>")
 
@@ -171,17 +170,17 @@ def encode_and_decode(docs: DataFrame, vocabulary: str = WORD_VOCABULARY, id_col
     """
 
     def run(batches):
+        steady_memory()
         duck = held_duck(vocabulary)
         for batch in batches:
-            flat, counts, same = [np.empty(0, np.int32)], [np.empty(0, np.int64)], []
-            for _, _, texts in _texts(batch, 1, 2_000_000):
-                ids, n = duck.encode(texts)
-                flat.append(ids)
-                counts.append(n)
-                same += [raw == t.encode("utf-8", "surrogatepass") for raw, t in zip(duck.decode(ids, n), texts)]
-            ends = np.append(0, np.cumsum(np.concatenate(counts)))
-            null = batch.column(1).is_null()
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)), mask=null)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(same, pa.bool_(), mask=np.asarray(null))], ["doc_id", "ids", "round_trip"])
+            data, offsets = utf8(batch.column(1))
+            parts, same = [], []
+            for first, end in runs(offsets, AT_ONCE):
+                part, places = sliced(data, offsets, first, end)
+                parts.append(duck.encode(part, places))
+                raw, ends = part.tobytes(), places.tolist()
+                same += [back == raw[a:b] for back, a, b in zip(duck.decode(*parts[-1]), ends[:-1], ends[1:])]
+            null = np.asarray(batch.column(1).is_null())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(parts, batch.column(1)), pa.array(same, pa.bool_(), mask=null)], ["doc_id", "ids", "round_trip"])
 
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {_kind(docs, id_col)}, ids array<int>, round_trip boolean")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import pick, written
+from loam.llm.arrays import mix, steady_memory
+from loam.llm.bpe import load_ranks
+from loam.llm.common import WORD_VOCABULARY, quoted, written
+from loam.llm.huffman import id_kind, tokenized
 
 _IDS_PER_GROUP = 1 << 32
 
@@ -50,60 +54,118 @@ class SumOfSquares:
         return window, best
 
 
-def _pack(capacity: int):
+_COLUMNS = ["doc_id", "start", "length", "window_id", "window_offset", "ids"]
+_ROWS_AT_ONCE = 1_000_000  # ids in a batch of results, about
+
+
+def _pack(capacity: int, kind: str, end_id: int):
+    """Rows sorted by group to the segments of their documents."""
+
+    def out(docs: list, rows: list[tuple], ids: list[np.ndarray] | None) -> pa.RecordBatch:
+        columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 4)]
+        if ids is None:
+            lists = pa.nulls(len(rows), pa.list_(pa.int32()))
+        else:
+            ends = np.append(0, np.cumsum([len(x) for x in ids]))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+        return pa.RecordBatch.from_arrays([docs, *columns, lists], _COLUMNS)
+
     def run(batches):
+        steady_memory()
         now, packer = None, None
         for batch in batches:
-            group, doc, size = (c.to_pylist() for c in batch.columns)
+            groups, sizes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            contents = batch.column(3).to_pylist() if end_id >= 0 else None
+            which: list[int] = []
             rows: list[tuple] = []
-            for g, d, n in zip(group, doc, size):
+            ids: list[np.ndarray] = []
+            held = 0
+            for i, (g, n) in enumerate(zip(groups, sizes)):
                 if g != now:
                     now, packer = g, SumOfSquares(capacity)
                 base = g * _IDS_PER_GROUP
+                content = None
+                if contents is not None:
+                    content = np.append(np.frombuffer(contents[i] or b"", kind).astype(np.int32), np.int32(end_id))
                 start = 0
-                while n - start >= capacity:
-                    rows.append((d, start, capacity, base + packer.windows, 0))
-                    packer.windows += 1
-                    start += capacity
-                if start < n:
-                    window, offset = packer.place(n - start)
-                    rows.append((d, start, n - start, base + window, offset))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(1).type), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "start", "length", "window_id", "window_offset"])
+                while start < n:
+                    if n - start >= capacity:
+                        length, window, offset = capacity, packer.windows, 0
+                        packer.windows += 1
+                    else:
+                        length = n - start
+                        window, offset = packer.place(length)
+                    which.append(i)
+                    rows.append((start, length, base + window, offset))
+                    if content is not None:
+                        ids.append(content[start : start + length])
+                    start += length
+                    held += length
+                if held >= _ROWS_AT_ONCE and contents is not None:
+                    yield out(batch.column(1).take(pa.array(which, pa.int32())), rows, ids)
+                    which, rows, ids, held = [], [], [], 0
+            yield out(batch.column(1).take(pa.array(which, pa.int32())), rows, ids if contents is not None else None)
 
     return run
 
 
-def word_count(text: Column) -> Column:
-    """Words divided by white space, and one more for the end of the text."""
-    return F.regexp_count(text, F.lit(r"\S+")).cast("long") + 1
+def _keyed(groups: int, sizes: bool, width: int):
+    """The group of each row: by its key, but for rows that repeat a key in a partition, each of which gets a key of its own."""
+
+    def run(batches):
+        seen: dict[int, int] = {}
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(np.unique(key)) < len(key) or seen.keys() & set(key.tolist()):
+                for i, k in enumerate(key.tolist()):
+                    n = seen.get(k, 0)
+                    seen[k] = n + 1
+                    if n:
+                        key[i] = mix(np.array([k], np.int64).view(np.uint64) + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0]
+            else:
+                seen.update(dict.fromkeys(key.tolist(), 1))
+            if sizes:
+                size, ids = batch.column(2), pa.nulls(batch.num_rows, pa.binary())
+            else:
+                ids = batch.column(2)
+                size = pa.array(pc.fill_null(pc.binary_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64) // width + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.mod(key, groups)), pa.array(key), batch.column(1), size, ids], ["group", "key", "doc_id", "size", "ids"])
+
+    return run
+
 
+def pack_windows(docs: DataFrame, capacity: int = 2048, docs_per_group: int = 20_000, seed: int = 42, size: Column | None = None, vocabulary: str = WORD_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, length, window_id, window_offset, ids): which units of each document lie where in which window.
 
-def pack_windows(docs: DataFrame, capacity: int = 2048, docs_per_group: int = 20_000, seed: int = 42, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, window_id, window_offset): which units of each document lie where in which window.
+    The units are the tokens of a text in the vocabulary and one more that ends it (the id
+    after the vocabulary's last); ids holds those of the segment, so that a window's contents
+    are its segments' ids by window_offset. With `size`, an expression over docs, units are
+    only counted and ids is NULL. A document of `capacity` units or more fills whole windows
+    of its own and only the rest is placed.
 
-    A document's size is `size` (by default its words and one more, for the end). A document
-    of `capacity` or more fills whole windows of its own and only the rest is placed. Rows
-    are divided by a hash into groups of about docs_per_group, which are packed on their own
-    and in a shuffled order; groups grow in number with the rows, never in size, and a group
-    is streamed through one task that holds only its open windows.
+    Rows are divided by a hash of their ids into groups of about docs_per_group, which are
+    packed on their own and in a shuffled order; groups grow in number with the rows, and a
+    group is streamed through one task that holds only its open windows. Rows that repeat an
+    id, NULL ids among them, are spread over the groups: each of a partition's gets a hash of
+    its own.
 
-    A NULL text counts as empty and takes one unit, its end; a NULL size, 0 and negative
-    sizes take no room: such a row isn't in the result. Rows that repeat are placed each.
-    Rows with a NULL id are placed like others. An empty table gives an empty result; other
-    columns are left out.
+    A NULL text counts as empty and has one unit, its end; a NULL size, 0 and negative sizes
+    take no room: such a row isn't in the result. Very long texts are packed whole. Rows that
+    repeat are placed each. An empty table gives an empty result; other columns are left out.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     if size is None:
-        size = word_count(F.coalesce(F.col("text"), F.lit("")))
-        rows = pick(docs, doc_id=id_col, text=text_col)
+        ranks = load_ranks(vocabulary)
+        end_id, kind = max(ranks.values()) + 1, id_kind(vocabulary)
+        rows = tokenized(docs, vocabulary, id_col, text_col)
+        last, total = "ids", docs.count()
     else:
-        rows = docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs
-    rows = written(rows.select("doc_id", size.cast("long").alias("size")).where("size > 0"))
-    groups = max(1, -(-rows.count() // docs_per_group))
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
-    kind = rows.dtypes[0][1]
-    grouped = rows.withColumn("key", key).withColumn("group", F.pmod(key, F.lit(groups)).cast("long"))
-    ordered = grouped.repartition("group").sortWithinPartitions("group", "key", "doc_id", "size").select("group", "doc_id", "size")
-    return ordered.mapInArrow(_pack(capacity), f"doc_id {kind}, start long, length long, window_id long, window_offset long")
+        end_id, kind = -1, "<u2"
+        rows = written(docs.select(quoted(id_col).alias("doc_id"), size.cast("long").alias("size")).where("size > 0"))
+        last, total = "size", rows.count()
+    groups = max(1, -(-total // docs_per_group))
+    doc = rows.dtypes[0][1]
+    keyed = rows.select(F.xxhash64(F.lit(seed), "doc_id").alias("key"), "doc_id", last).mapInArrow(_keyed(groups, size is not None, np.dtype(kind).itemsize), f"group long, key long, doc_id {doc}, size long, ids binary")
+    ordered = keyed.repartition("group").sortWithinPartitions("group", "key", "doc_id", "size").select("group", "doc_id", "size", "ids")
+    return ordered.mapInArrow(_pack(capacity, kind, end_id), f"doc_id {doc}, start long, length long, window_id long, window_offset long, ids array<int>")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.bpe import held_pieces
-from loam.llm.common import WORD_VOCABULARY, pick, slices, strings
+from loam.llm.arrays import runs, sliced, steady_memory, utf8
+from loam.llm.bpe import AT_ONCE, held_pieces
+from loam.llm.common import WORD_VOCABULARY, pick
 
 
 def token_count(text: Column, vocabulary: str = WORD_VOCABULARY) -> Column:
@@ -20,14 +21,14 @@ def token_count(text: Column, vocabulary: str = WORD_VOCABULARY) -> Column:
     count, however long.
     """
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        steady_memory()
         pieces = held_pieces(vocabulary)
         for batch in batches:
-            texts = strings(batch)
-            found = [pieces.counts([t or "" for t in texts[a:b]]) for a, b in slices(texts)]
-            counts = np.concatenate([np.empty(0, np.int64), *found])
-            yield pd.Series(pd.arrays.IntegerArray(counts, np.array([t is None for t in texts], bool)))
+            data, offsets = utf8(batch)
+            found = [pieces.counts(*sliced(data, offsets, a, b)) for a, b in runs(offsets, AT_ONCE)]
+            yield pa.array(np.concatenate([np.empty(0, np.int64), *found]), mask=np.asarray(batch.is_null()))
 
     return count(text)
 

@@ -1,8 +1,12 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
+from loam.llm.bpe import PATTERN, load_ranks
+from loam.llm.common import WORD_VOCABULARY
 from loam.llm.packing import SumOfSquares, pack_windows
 from loam.llm.queries import QUERIES
 from loam.llm.sharding import interleave_shards
@@ -55,34 +59,69 @@ def check(rows, sizes, capacity):
     return len(by_window)
 
 
-def test_packing_query_against_one_packer_in_the_same_order(spark, sf, docs, texts):
+@pytest.fixture(scope="module")
+def encode():
+    ranks = load_ranks(WORD_VOCABULARY)
+    reference = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: [*reference(text or ""), max(ranks.values()) + 1]
+
+
+def contents(rows):
+    """The ids of each document, put together from its segments in the windows."""
+    out = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.start):
+        assert len(r.ids) == r.length
+        out[r.doc_id] += r.ids
+    return out
+
+
+def test_packing_query_against_one_packer_in_the_same_order(spark, sf, docs, texts, encode):
     rows = QUERIES["op3_packing"](spark, sf).collect()
-    sizes = {i: len(t.split()) + 1 for i, t in texts.items()}
+    ids = {i: encode(t) for i, t in texts.items()}
+    assert contents(rows) == ids
+    sizes = {i: len(x) for i, x in ids.items()}
     windows = check(rows, sizes, 2048)
-    keys = docs.select("doc_id", (F.regexp_count("text", F.lit(r"\S+")) + 1).cast("long").alias("size")).withColumn("key", F.xxhash64(F.lit(42), "doc_id", "size")).orderBy("key").collect()
+    keys = docs.select("doc_id").withColumn("key", F.xxhash64(F.lit(42), "doc_id")).orderBy("key").collect()
     packer, want = SumOfSquares(2048), []
     for r in keys:
         start = 0
-        while r.size - start >= 2048:
+        while sizes[r.doc_id] - start >= 2048:
             want.append((r.doc_id, start, packer.windows, 0))
             packer.windows += 1
             start += 2048
-        if start < r.size:
-            want.append((r.doc_id, start, *packer.place(r.size - start)))
+        if start < sizes[r.doc_id]:
+            want.append((r.doc_id, start, *packer.place(sizes[r.doc_id] - start)))
     assert sorted((r.doc_id, r.start, r.window_id, r.window_offset) for r in rows) == sorted(want)
     assert windows <= 1.1 * sum(sizes.values()) / 2048 + 1
 
 
-def test_packing_groups_and_edges(edge, empty, docs, texts):
+def test_packing_groups_and_edges(edge, empty, docs, texts, encode):
+    ids = {i: encode(t) for i, t in texts.items()}
     rows = pack_windows(docs, capacity=300, docs_per_group=10).collect()
-    check(rows, {i: len(t.split()) + 1 for i, t in texts.items()}, 300)
-    got = pack_windows(edge, capacity=16).collect()
-    count = Counter()
+    check(rows, {i: len(x) for i, x in ids.items()}, 300)
+    assert contents(rows) == ids
+    got, count, want = pack_windows(edge, capacity=16).collect(), Counter(), Counter()
     for r in got:
         count[r.doc_id] += r.length
-    assert count[1] == 1 and count[2] == 1 and count[3] == 60_001 and count[4] == 2 and count[5] == 12 and count[6] == 13 and count[None] == 10
+    for r in edge.collect():
+        want[r.doc_id] += len(encode(r.text))
+    assert count == want and count[2] == 1
     assert pack_windows(empty).count() == 0
-    assert pack_windows(edge, size=F.col("doc_id") - 5).agg(F.min("length")).first()[0] == 1  # sizes below 1 take no room
+    few = pack_windows(edge, size=F.col("doc_id") - 5)
+    assert few.agg(F.min("length")).first()[0] == 1 and few.where("ids IS NOT NULL").count() == 0  # sizes below 1 take no room
+
+
+def test_packing_sizes_beside_clashing_names(edge):
+    clash = edge.withColumn("id", F.col("doc_id").cast("string")).withColumn("a.b", F.col("doc_id"))
+    assert pack_windows(clash, size=F.lit(3), id_col="id", capacity=10).count() == edge.count()
+    assert pack_windows(clash, id_col="a.b", capacity=1000).select("doc_id").distinct().count() == 12
+
+
+def test_repeated_rows_are_spread_over_groups(spark):
+    for value in ("cast(NULL AS long)", "7L"):
+        same = spark.range(3000, numPartitions=3).selectExpr(f"{value} AS doc_id", "'one two three' AS text")
+        groups = Counter(r.window_id >> 32 for r in pack_windows(same, docs_per_group=300, capacity=64).collect())
+        assert len(groups) == 10 and max(groups.values()) < 600 and sum(groups.values()) >= 3000
 
 
 def test_shards_have_the_mixture(docs):

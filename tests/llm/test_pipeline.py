@@ -1,12 +1,15 @@
 import corpus_pipeline
+import tiktoken
 from pyspark.sql import functions as F
 
+from loam.llm.bpe import PATTERN, load_ranks
+from loam.llm.common import WORD_VOCABULARY
 from loam.llm.language_id import fit_language_filters, identify_language
 from loam.llm.pii import redact_pii
 from loam.llm.quality_rules import apply_quality_rules, learn_quality_rules
 
 from .test_ngram_join import brute
-from .test_packing_sharding import check
+from .test_packing_sharding import check, contents
 
 
 def test_stages_are_the_operators(spark, sf, docs):
@@ -24,7 +27,10 @@ def test_stages_are_the_operators(spark, sf, docs):
     left = left.where(F.col("doc_id").isin([i for i in texts if label[i] == i]))
     clean = {r.doc_id: r.text for r in redact_pii(left).collect()}
     rows = corpus_pipeline.run(spark, sf).collect()
-    check(rows, {i: len(t.split()) + 1 for i, t in clean.items()}, 2048)
+    encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(WORD_VOCABULARY), special_tokens={}).encode_ordinary
+    ids = {i: encode(t) for i, t in clean.items()}
+    check(rows, {i: len(x) + 1 for i, x in ids.items()}, 2048)
+    assert {i: x[:-1] for i, x in contents(rows).items()} == ids  # the redacted texts' tokens lie in the windows
 
 
 def test_stages_keep_columns_and_take_odd_rows(spark, sf, edge, empty):

@@ -1,9 +1,13 @@
+import random as rnd
+
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from loam.llm.bpe import PATTERN, Merges, held_pieces, load_ranks
+from loam.llm.arrays import utf8
+from loam.llm.bpe import PATTERN, Merges, Pieces, held_pieces, load_ranks
 from loam.llm.common import TOKENIZERS, WORD_VOCABULARY
 from loam.llm.duck_bpe import DuckBpe, decode_bpe, encode_bpe, encode_and_decode
 from loam.llm.huffman import Code, code_lengths, decode_bits, decode_blocks, encode_bits, huffman_blocks
@@ -11,6 +15,7 @@ from loam.llm.queries import QUERIES
 from loam.llm.token_counts import count_tokens
 
 ODD = ["", " ", "a", "  a  b ", "a\n b", "　x", "é" * 5, "don't we're", " \n\n x", "<|endoftext|>", "x" * 700, "ab" * 200, "漢字🎉", "a\x00b", "tab\t\ttab", "\r\n", "1234567 8", "ﬁ ﬂ", "x ", " x"]
+ODD += ["'s", " 's", "a's't'tore''s \n's 'll'rev", "a'", "'r", "'re", "x\x1cy \x1f z", "a×b÷c ×", "“q” a “b", "\u2028 \u00a0 x", "a 漢 b 'tis I'd've", "abc" * 3000, "qzxw" * 400]
 
 
 @pytest.fixture(scope="module")
@@ -27,12 +32,15 @@ def split(flat, counts):
 def test_pieces_and_duckdb_equal_the_reference_encoder(name, texts):
     path = f"{TOKENIZERS}/{name}"
     encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
-    some = ODD + list(texts.values())[:60]
+    r = rnd.Random(3)
+    odd = ["".join(r.choice("aabcdeestrn  ''\n\t.,!1234é×ñß漢“” \x1c🎉STD") for _ in range(r.randint(0, 40))) for _ in range(1500)]
+    some = ODD + odd + ["".join(r.choice("abcdefgs.=-") for _ in range(6000))] + list(texts.values())[:60]
     want = [encode(t) for t in some]
-    assert split(*held_pieces(path).ids(some)) == want
-    assert held_pieces(path).counts(some).tolist() == [len(w) for w in want]
+    columns = utf8(pa.array(some))
+    assert split(*held_pieces(path).ids(*columns)) == want
+    assert held_pieces(path).counts(*columns).tolist() == [len(w) for w in want]
     duck = DuckBpe(path, words_at_once=500)
-    ids, n = duck.encode(some)
+    ids, n = duck.encode(*columns)
     assert split(ids, n) == want
     assert duck.decode(ids, n) == [t.encode() for t in some]
 
@@ -40,8 +48,11 @@ def test_pieces_and_duckdb_equal_the_reference_encoder(name, texts):
 def test_duckdb_contracts_random_words_like_a_plain_loop():
     duck, random = DuckBpe(WORD_VOCABULARY), np.random.default_rng(1)
     words = [bytes(random.choice(list(b"aetnorsih ,"), int(random.integers(1, 30)))) for _ in range(300)]
-    flat, start = duck.merge(words)
+    columns = np.frombuffer(b"".join(words), np.uint8), np.array(list(map(len, words)))
+    flat, start = duck.merge(*columns)
     merges = Merges(load_ranks(WORD_VOCABULARY))
+    assert all((x == y).all() for x, y in zip(merges.symbols(*columns), (flat, start)))
+    assert all(merges.by_ranks(np.frombuffer(w, np.uint8)).tolist() == flat[a:b].tolist() for w, a, b in zip(words, start, start[1:]))
     for i, w in enumerate(words):
         ids = [merges.of_byte[b] for b in w]
         while True:
@@ -54,11 +65,32 @@ def test_duckdb_contracts_random_words_like_a_plain_loop():
 
 
 def test_forgetting_pieces_changes_nothing(texts, reference):
-    held = held_pieces(WORD_VOCABULARY)
-    most, held.most = held.most, 10
+    merges = Merges(load_ranks(WORD_VOCABULARY))
     some = list(texts.values())[:40]
-    assert [c for i in range(0, 40, 5) for c in held.counts(some[i : i + 5]).tolist()] == [len(reference(t)) for t in some]
-    held.most = most
+    for most in (10, 300):
+        held = Pieces(merges.ranks, merges.symbols, most)
+        assert [c for i in range(0, 40, 5) for c in held.counts(*utf8(pa.array(some[i : i + 5]))).tolist()] == [len(reference(t)) for t in some]
+
+
+def test_a_vocabulary_whose_merges_make_lower_pairs():
+    """Against a plain loop that merges one pair at a time."""
+    r = rnd.Random(5)
+    for _ in range(30):
+        tokens = {bytes([b]): b for b in range(256)}
+        more = list({"".join(r.choice("ab") for _ in range(r.randint(2, 5))).encode() for _ in range(14)})
+        tokens.update({t: 256 + i for i, t in enumerate(more)})
+        merges = Merges(tokens)
+        words = ["".join(r.choice("aab") for _ in range(r.randint(1, 40))).encode() for _ in range(60)]
+        flat, start = merges.symbols(np.frombuffer(b"".join(words), np.uint8), np.array(list(map(len, words))))
+        for w, a, b in zip(words, start, start[1:]):
+            ids = [merges.of_byte[x] for x in w]
+            while len(ids) > 1:
+                ranks = [merges.pairs.get(int(x) << 32 | int(y), 1 << 40) for x, y in zip(ids, ids[1:])]
+                if min(ranks) == 1 << 40:
+                    break
+                at = ranks.index(min(ranks))
+                ids[at : at + 2] = [min(ranks)]
+            assert flat[a:b].tolist() == ids == merges.by_ranks(np.frombuffer(w, np.uint8)).tolist()
 
 
 def test_count_query(spark, sf, texts, reference):
@@ -76,6 +108,13 @@ def test_huffman_query(spark, sf, texts, reference):
     blocks = QUERIES["op8_huffman"](spark, sf).cache()
     got = {r.doc_id: list(r.ids) for r in decode_blocks(blocks).collect()}
     assert got == {i: reference(t) for i, t in texts.items()}
+    assert all(r.round_trip for r in blocks.select("round_trip").collect())
+
+
+def test_blocks_of_text_ids(spark, reference):
+    df = spark.createDataFrame([("a", "one two"), (None, None), ("a", ""), ("b", "x" * 400)], "name string, body string")
+    got = decode_blocks(huffman_blocks(df, block_ids=3, every=2, id_col="name", text_col="body")).collect()
+    assert sorted(((r.doc_id, r.ids) for r in got), key=repr) == sorted([("a", reference("one two")), (None, None), ("a", []), ("b", reference("x" * 400))], key=repr)
 
 
 def test_edges(spark, edge, empty, reference):
@@ -126,6 +165,8 @@ def test_code_lengths_are_best_under_the_limit():
         assert lengths.max() <= limit and (0.5 ** lengths.astype(float)).sum() <= 1 + 1e-12
     assert code_lengths(np.array([0, 5, 0]), 16).tolist() == [0, 1, 0]
     assert code_lengths(np.zeros(0, int)).tolist() == []
+    with pytest.raises(ValueError):
+        code_lengths(np.ones(5, int), 2)
     # against all length-limited codes of four symbols
     from itertools import product
 
