@@ -4,8 +4,9 @@ Prefix filtering over a rare-first order, with length, positional and suffix fil
 each candidate pair is verified once.
 
 1.  Each task hashes its documents' n-grams and sends them, sorted and delta-coded, to
-    buckets by hash. A bucket knows every document of its n-grams, so that document
-    frequencies are exact over the corpus.
+    buckets by hash. A bucket counts the documents of its n-grams, so that document
+    frequencies are exact over the corpus. An n-gram of many documents of a chunk is sent
+    once with their number, so that what all documents share is an entry a chunk.
 2.  Buckets send back only n-grams of two documents or more: one of a single document is
     in no intersection. They carry a rank: first by frequency, then by hash.
 3.  A document whose prefix (the n - ceil(t n) + 1 rarest n-grams) holds nothing but
@@ -14,10 +15,13 @@ each candidate pair is verified once.
     them stands for all.
 5.  The others' prefix n-grams are the join key. The list of rows of an n-gram goes on to
     where the other lists with the same first row go, as near copies share most lists: there
-    pairs pass the length and the positional filter, and are known once.
+    pairs pass the length and the positional filter, and are known once. A very long list
+    goes on in pairs of blocks, to many places.
 6.  Token lists meet at the home of a pair's first document: a min-hash, so that lists of
     near copies mostly live together and each is sent once per home, not once per pair.
-    A home of many pairs is divided. There the suffix filter and then the exact count decide.
+    A home of many pairs is divided. There the suffix filter and then the exact count decide,
+    for all partners of a document at once. Links are counted and classes joined right there,
+    so that nothing quadratic leaves a home, unless the pairs themselves are asked for.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,10 +42,17 @@ from loam.llm.common import pick, small, written
 HASH_BITS = 56
 RANK_BITS = 27
 CHUNK_NGRAMS = 1_000_000
+_MANY = 65_535  # in place of a document: one of the chunk's frequent n-grams
 CHUNK_DOCS = 60_000
 BUCKET_BYTES = 8_000_000
 HOME_DOCS = 1024
 ROUTE_DOCS = 2048
+#: An n-gram of more documents of a chunk goes to its bucket once, with their number.
+OFTEN = 8
+#: A list of more rows of one n-gram is cut into blocks of so many.
+LIST_ROWS = 8192
+#: Shuffled bytes of texts' n-grams a task, about.
+TASK_BYTES = 16_000_000
 #: A home with more pairs is divided by its first documents, so that no task grows with the largest group of copies.
 CELL_PAIRS = 100_000
 
@@ -73,62 +85,106 @@ def _routed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(chunk, pa.int64()), pa.array(blob, pa.binary())], ["route", "chunk", "blob"])
 
 
+def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
+    return ((gram >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _joined(*parts: bytes) -> bytes:
+    return b"".join(struct.pack("<I", len(p)) + p for p in parts)
+
+
+def _parted(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        (n,) = struct.unpack_from("<I", blob, at)
+        out.append(blob[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+def _table(ids: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([ids], ["id"]))
+    return sink.getvalue().to_pybytes()
+
+
 def _scatter(n: int, buckets: int):
-    """Documents to (route, chunk, blob): n-grams to their buckets; a chunk's ids, sizes and fingerprints to the chunk (route < 0)."""
+    """Documents to (route, chunk, blob): n-grams to their buckets; a chunk's ids, sizes, fingerprints and frequent n-grams to the chunk (route < 0)."""
 
-    def flush(chunk: int, ids: list[int], grams: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        doc = np.repeat(np.arange(len(ids)), np.concatenate(counts)).astype(np.uint16)
+    def flush(chunk: int, ids: list[pa.Array], grams: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        rows_here = sum(map(len, ids))
+        doc = np.repeat(np.arange(rows_here), np.concatenate(counts)).astype(np.uint16)
         gram = np.concatenate(grams)
         order = np.argsort(gram, kind="stable")
         gram, doc = gram[order], doc[order]
         if len(gram):
             keep = np.append(True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]))
             gram, doc = gram[keep], doc[keep]
-        size = np.bincount(doc, minlength=len(ids)).astype(np.int64)
-        marks = np.zeros((2, len(ids)), np.uint64)
+        size = np.bincount(doc, minlength=rows_here).astype(np.int64)
+        marks = np.zeros((2, rows_here), np.uint64)
         by = np.argsort(doc, kind="stable")
         filled = np.flatnonzero(size)
         if len(filled):
             at = (np.cumsum(size) - size)[filled]
             marks[0, filled] = np.add.reduceat(mix(gram[by]), at)
             marks[1, filled] = np.add.reduceat(mix(gram[by] + np.uint64(0xD1B54A32D192ED03)), at)
-        rows = [(-1 - chunk, chunk, np.concatenate([np.array(ids, np.int64), size, marks.view(np.int64).ravel()]).tobytes())]
-        bucket = ((gram >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
-        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            rows.append((int(bucket[a]), chunk, pack(gram[a:b], doc[a:b].tobytes())))
+        start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.empty(0, np.int64)
+        times = np.diff(np.append(start, len(gram)))
+        often = times > OFTEN
+        kept = np.repeat(often, times)
+        frequent = pack(gram[start[often]], np.concatenate([times[often].astype("<i4").view(np.uint8), doc[kept].view(np.uint8)]).tobytes())
+        rows = [(-1 - chunk, chunk, _joined(_table(pa.concat_arrays(ids)), np.concatenate([size, marks.view(np.int64).ravel()]).tobytes(), frequent))]
+        first = np.ones(len(gram), bool)
+        first[kept] = False
+        first[start[often]] = True
+        weight = np.repeat(times, times)[first].astype("<i4")
+        gram, doc = gram[first], np.where(kept, _MANY, doc).astype(np.uint16)[first]
+        bucket = _bucket(gram, buckets)
+        for a, b in _cuts(bucket):
+            rows.append((int(bucket[a]), chunk, pack(gram[a:b], doc[a:b].tobytes() + weight[a:b][doc[a:b] == _MANY].tobytes())))
         return _routed(rows)
 
     def run(batches):
         steady_memory()
         base, seq = TaskContext.get().partitionId() << 22, 0
-        ids, grams, counts, held = [], [], [], 0
+        ids: list[pa.Array] = []
+        grams, counts, held, here = [], [], 0, 0
         for batch in batches:
             data, offsets = utf8(batch.column(1), lower=True)
-            doc_ids = batch.column(0).to_pylist()
+            named = np.asarray(batch.column(0).is_valid())
             for first, end in runs(offsets):
                 words, per = word_hashes(*sliced(data, offsets, first, end))
                 gram, have = ngram_hashes(words, per, n)
+                if not named[first:end].all():
+                    gram, have = gram[np.repeat(named[first:end], have)], np.where(named[first:end], have, 0)
                 gram >>= np.uint64(64 - HASH_BITS)
                 for a in range(first, end, CHUNK_DOCS):
                     b = min(end, a + CHUNK_DOCS)
-                    if ids and len(ids) + b - a > CHUNK_DOCS:
+                    if ids and here + b - a > CHUNK_DOCS:
                         yield flush(base + seq, ids, grams, counts)
-                        seq, ids, grams, counts, held = seq + 1, [], [], [], 0
+                        seq, ids, grams, counts, held, here = seq + 1, [], [], [], 0, 0
                     lo, hi = have[: a - first].sum(), have[: b - first].sum()
-                    ids += doc_ids[a:b]
+                    ids.append(batch.column(0).slice(a, b - a))
+                    here += b - a
                     grams.append(gram[lo:hi])
                     counts.append(have[a - first : b - first])
                     held += hi - lo
                 if held >= CHUNK_NGRAMS:
                     yield flush(base + seq, ids, grams, counts)
-                    seq, ids, grams, counts, held = seq + 1, [], [], [], 0
+                    seq, ids, grams, counts, held, here = seq + 1, [], [], [], 0, 0
         if ids:
             yield flush(base + seq, ids, grams, counts)
 
     return run
 
 
+def _cuts(values: np.ndarray):
+    """(start, end) of the runs of equal values."""
+    ends = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, len(values)) if len(values) else np.empty(0, np.int64)
+    return zip([0, *ends[:-1].tolist()], ends.tolist())
+
+
 def _grouped(batches, column: int):
     """Runs of rows with an equal value in a sorted column, as lists of (route, chunk, blob)."""
     now, held = None, []
@@ -150,14 +206,22 @@ def _frequencies(batches):
         if route < 0:
             yield _routed(rows)
             continue
-        parts = [unpack(blob) for _, _, blob in rows]
-        gram = np.concatenate([g for g, _ in parts])
-        doc = np.concatenate([np.frombuffer(d, np.uint16) for _, d in parts]).astype(np.uint64)
-        part = np.repeat(np.arange(len(parts), dtype=np.uint64), [len(g) for g, _ in parts])
+        grams, docs, weights = [], [], []
+        for _, _, blob in rows:
+            gram, rest = unpack(blob)
+            doc = np.frombuffer(rest, np.uint16, len(gram))
+            weight = np.ones(len(gram), np.int64)
+            weight[doc == _MANY] = np.frombuffer(rest[2 * len(gram) :], "<i4")
+            grams.append(gram)
+            docs.append(doc)
+            weights.append(weight)
+        part = np.repeat(np.arange(len(grams), dtype=np.uint64), list(map(len, grams)))
+        gram, doc, weight = np.concatenate(grams), np.concatenate(docs).astype(np.uint64), np.concatenate(weights)
         order = np.argsort(gram, kind="stable")
         gram = gram[order]
         start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        df = np.diff(np.append(start, len(gram)))
+        entries = np.diff(np.append(start, len(gram)))
+        df = np.add.reduceat(weight[order], start)
         several = df >= 2
         if not several.any():
             continue
@@ -165,37 +229,43 @@ def _frequencies(batches):
         by = np.argsort(level, kind="stable")
         rank = np.empty(len(by), np.uint64)
         rank[by] = np.arange(len(by), dtype=np.uint64)
-        token = np.repeat(level << np.uint64(RANK_BITS) | rank, df[several])
-        at = order[np.repeat(several, df)]
-        key = np.sort(part[at] << np.uint64(48) | doc[at] << np.uint64(32) | token) if len(parts) < 65536 else None
-        if key is None:
-            by = np.lexsort((token, doc[at], part[at]))
-            part_of, low = part[at][by], (doc[at][by] << np.uint64(32)) | token[by]
-        else:
-            part_of, low = key >> np.uint64(48), key & np.uint64(2**48 - 1)
-        cuts = np.append(np.flatnonzero(np.append(True, part_of[1:] != part_of[:-1])), len(low))
-        yield _routed([(route, rows[int(part_of[a])][1], pack(low[a:b])) for a, b in zip(cuts[:-1], cuts[1:])])
+        token = np.repeat(level << np.uint64(RANK_BITS) | rank, entries[several])
+        at = order[np.repeat(several, entries)]
+        back = np.argsort(at)  # by chunk, and in it by n-gram
+        at, token = at[back], token[back]
+        out = []
+        for a, b in _cuts(part[at]):
+            d, t = doc[at[a:b]], token[a:b]
+            many = d == _MANY
+            out.append((route, rows[int(part[at[a]])][1], pack(np.sort(d[~many] << np.uint64(32) | t[~many]), t[many].astype("<u4").tobytes())))
+        yield _routed(out)
 
 
-LISTS = "row long, doc_id long, size int, mark1 long, mark2 long, home int, tokens binary"
+_LISTS = "row long, doc_id {}, size int, mark1 long, mark2 long, home int, tokens binary"
 
 
 def _lists(threshold: float, homes: int):
-    """A chunk's documents that may have a partner, with their ranked shared n-grams."""
+    """A chunk's documents with the ranked shared n-grams of those that may have a partner; of others tokens is NULL."""
 
     def run(batches):
         steady_memory()
         for chunk, rows in _grouped(batches, 1):
-            meta = next(np.frombuffer(blob, np.int64).reshape(4, -1) for route, _, blob in rows if route < 0)
-            docs, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-            for route, _, blob in rows:
-                if route >= 0:
-                    low = unpack(blob)[0]
-                    token = low & np.uint64(2**32 - 1)
-                    docs.append((low >> np.uint64(32)).astype(np.int64))
-                    keys.append((token >> np.uint64(RANK_BITS)) << np.uint64(58) | np.uint64(route << RANK_BITS) | token & np.uint64(2**RANK_BITS - 1))
+            table, numbers, frequent = _parted(next(blob for route, _, blob in rows if route < 0))
+            ids = pa.ipc.open_stream(table).read_all().column(0).combine_chunks()
+            size, mark1, mark2 = np.frombuffer(numbers, np.int64).reshape(3, -1)
+            docs, keys, often = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for route, _, blob in sorted(r for r in rows if r[0] >= 0):
+                low, rest = unpack(blob)
+                token = np.concatenate([low & np.uint64(2**32 - 1), np.frombuffer(rest, "<u4").astype(np.uint64)])
+                key = (token >> np.uint64(RANK_BITS)) << np.uint64(58) | np.uint64(route << RANK_BITS) | token & np.uint64(2**RANK_BITS - 1)
+                docs.append((low >> np.uint64(32)).astype(np.int64))
+                keys.append(key[: len(low)])
+                often.append(key[len(low) :])
+            gram, rest = unpack(frequent)
+            times = np.frombuffer(rest, "<i4", len(gram))
+            docs.append(np.frombuffer(rest[4 * len(gram) :], np.uint16).astype(np.int64))
+            keys.append(np.repeat(np.concatenate(often), times))
             doc, key = np.concatenate(docs), np.concatenate(keys)
-            size = meta[1]
             shared = np.bincount(doc, minlength=len(size))
             live = prefix_length(size, threshold) > size - shared
             live &= size > 0
@@ -204,15 +274,13 @@ def _lists(threshold: float, homes: int):
             order = np.lexsort((key, doc))
             doc, key = doc[order], key[order]
             who = np.flatnonzero(live)
-            if not len(who):
-                continue
-            start = np.searchsorted(doc, who)
-            end = np.searchsorted(doc, who, "right")
-            home = np.minimum.reduceat(mix(key), start) % np.uint64(homes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk * 65536 + who), pa.array(meta[0][who]), pa.array(size[who], pa.int32()), pa.array(meta[2][who]), pa.array(meta[3][who]), pa.array(home.astype(np.int32)), pa.array([pack(key[a:b]) for a, b in zip(start, end)], pa.binary())],
-                ["row", "doc_id", "size", "mark1", "mark2", "home", "tokens"],
-            )
+            home, tokens = np.zeros(len(size), np.int32), np.full(len(size), None, object)
+            if len(who):
+                start, end = np.searchsorted(doc, who), np.searchsorted(doc, who, "right")
+                home[who] = (np.minimum.reduceat(mix(key), start) % np.uint64(homes)).astype(np.int32)
+                tokens[who] = [pack(key[a:b]) for a, b in zip(start, end)]
+            columns = [pa.array(chunk * 65536 + np.arange(len(size))), ids, pa.array(size, pa.int32()), pa.array(mark1), pa.array(mark2), pa.array(home), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "size", "mark1", "mark2", "home", "tokens"])
 
     return run
 
@@ -238,11 +306,48 @@ def _postings(threshold: float):
     return run
 
 
-def _meet(routes: int, most: int = 500_000):
-    """Each n-gram's list of rows, sent to where its first row's other lists go: near copies share most lists, so that their pairs meet in one place."""
+def _meet(routes: int, threshold: float, most: int = 500_000):
+    """Each n-gram's list of rows, sent to where its first row's other lists go: near copies share most lists, so that their pairs meet in one place.
 
-    def flush(columns):
+    A list of more than LIST_ROWS rows is cut into blocks by size, and each two blocks that may
+    hold a pair meet under a token of their own: no place gets more of it than two blocks.
+    """
+
+    def blob(columns) -> bytes:
         token, row, size, pos, home = columns
+        raw = b"".join(x.tobytes() for x in (token, row, size.astype(np.int32), pos.astype(np.int32), home.astype(np.int32)))
+        return zstandard.ZstdCompressor(level=1).compress(raw)
+
+    def blocks(columns):
+        token, row, size, pos, home = (x[np.lexsort((columns[1], columns[2]))] for x in columns)
+        cuts = [(a, min(a + LIST_ROWS, len(row))) for a in range(0, len(row), LIST_ROWS)]
+        for i, (a, b) in enumerate(cuts):
+            for j in range(i, len(cuts)):
+                c, d = cuts[j]
+                if size[b - 1] < threshold * size[c] - 1e-9:
+                    break
+                if i == j and len(cuts) > 1:
+                    continue  # pairs within a block are found where it meets another
+                at = np.r_[a:b, c:d] if i < j else np.arange(a, b)
+                own = mix(np.array([int(token[0]) * 2654435761 + i * 1_000_003 + j & (1 << 63) - 1], np.uint64))[0] >> np.uint64(1)
+                yield int(own % np.uint64(routes)), 0, blob((np.full(len(at), own, np.int64), row[at], size[at], pos[at], home[at]))
+        if len(cuts) > 1:  # a block too far from all others
+            for i, (a, b) in enumerate(cuts):
+                near = i + 1 < len(cuts) and size[b - 1] >= threshold * size[cuts[i + 1][0]] - 1e-9 or i and size[a - 1] >= threshold * size[a] - 1e-9
+                if not near:
+                    yield int(mix(row[a : a + 1].astype(np.uint64))[0] % np.uint64(routes)), 0, blob((token[a:b], row[a:b], size[a:b], pos[a:b], home[a:b]))
+
+    def flush(columns):
+        token = columns[0]
+        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        length = np.diff(np.append(begin, len(token)))
+        for i in np.flatnonzero(length > LIST_ROWS):
+            for parts in blocks([c[begin[i] : begin[i] + length[i]] for c in columns]):
+                yield _routed([parts])
+        keep = np.repeat(length <= LIST_ROWS, length)
+        token, row, size, pos, home = (c[keep] for c in columns)
+        if not len(token):
+            return
         start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         n = np.diff(np.append(start, len(token)))
         lead = np.repeat(np.where(n > 1, (mix(np.minimum.reduceat(row, start).astype(np.uint64)) % np.uint64(routes)).astype(np.int64), -1), n)
@@ -255,8 +360,7 @@ def _meet(routes: int, most: int = 500_000):
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:]):
             at = order[a:b]
-            raw = b"".join(x.tobytes() for x in (token[at], row[at], size[at].astype(np.int32), pos[at].astype(np.int32), home[at].astype(np.int32)))
-            rows.append((int(lead[a]), 0, zstandard.ZstdCompressor(level=1).compress(raw)))
+            rows.append((int(lead[a]), 0, blob((token[at], row[at], size[at], pos[at], home[at]))))
         yield _routed(rows)
 
     def run(batches):
@@ -297,10 +401,17 @@ def _candidates(threshold: float, most: int = 4_000_000):
             ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
             yield i[ok], j[ok]
 
-    def once(keys):
-        keys = np.sort(np.concatenate(keys))
-        pair = keys >> _POS
-        return keys[np.append(True, pair[1:] != pair[:-1])] if len(keys) else keys
+    def once(found):
+        """The distinct pairs in order, each with its lowest position."""
+        pair, pos = (np.concatenate(x) for x in zip(*found))
+        if len(pair) and int(pair.max()) >> (63 - _POS) == 0:
+            key = np.sort(pair << _POS | pos)
+            pair, pos = key >> _POS, key & (2**_POS - 1)
+        else:
+            order = np.lexsort((pos, pair))
+            pair, pos = pair[order], pos[order]
+        new = np.append(True, pair[1:] != pair[:-1])[: len(pair)]
+        return pair[new], pos[new]
 
     def run(batches):
         steady_memory()
@@ -322,22 +433,21 @@ def _candidates(threshold: float, most: int = 4_000_000):
             width = len(whole)
             found, held = [], 0
             for a, b in pairs(token, size, pos):
-                found.append((local[a] * width + local[b]) << _POS | np.minimum(pos[a], 2**_POS - 1))
+                found.append((local[a] * width + local[b], np.minimum(pos[a], 2**_POS - 1)))
                 held += len(a)
                 if held >= most:
                     found = [once(found)]
-                    held = len(found[0]) if len(found[0]) < most // 2 else 0
+                    held = len(found[0][0]) if len(found[0][0]) < most // 2 else 0
                     if not held:  # mostly distinct pairs: hand them on; what comes twice is gathered afterwards
-                        yield from out(found.pop(), whole, home, width)
+                        yield from out(*found.pop(), whole, home, width)
             if found:
-                yield from out(once(found), whole, home, width)
+                yield from out(*once(found), whole, home, width)
 
-    def out(keys, whole, home, width):
-        pair = keys >> _POS
+    def out(pair, pos, whole, home, width):
         a, b = pair // width, pair % width
-        for k in range(0, len(keys), 500_000):
+        for k in range(0, len(pair), 500_000):
             x, y = a[k : k + 500_000], b[k : k + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(whole[x]), pa.array(whole[y]), pa.array(home[x]), pa.array((keys[k : k + 500_000] & (2**_POS - 1)).astype(np.int32))], ["row_a", "row_b", "home_a", "pos_a"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole[x]), pa.array(whole[y]), pa.array(home[x]), pa.array(pos[k : k + 500_000].astype(np.int32))], ["row_a", "row_b", "home_a", "pos_a"])
 
     return run
 
@@ -353,103 +463,220 @@ def _with_last(batches):
         yield True, previous
 
 
-def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
-    """At most so many numbers are in both ascending lists: split both at a pivot, again and again."""
-    if not depth or len(x) < 2 or len(y) < 2:
-        return min(len(x), len(y))
-    pivot = y[len(y) // 2]
-    i, j = int(np.searchsorted(x, pivot)), len(y) // 2
-    return suffix_bound(x[:i], y[:j], depth - 1) + suffix_bound(x[i:], y[j:], depth - 1)
+def suffix_bounds(keys: np.ndarray, tokens: np.ndarray, x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], row: np.ndarray, shift: int) -> np.ndarray:
+    """At most so many tokens are in both suffixes of each pair: y is split at its quartiles, and x where they would stand.
+
+    x and y: where the suffixes begin and end in tokens; row: the row of x; keys: row << shift | token, ascending.
+    """
+    bound = np.zeros(len(row), np.int64)
+    at_x, at_y = x[0], y[0]
+    size = y[1] - y[0]
+    for k in (1, 2, 3, 4):
+        if k < 4:
+            to_y = y[0] + size * k // 4
+            to_x = np.minimum(np.searchsorted(keys, row << shift | tokens[np.minimum(to_y, len(tokens) - 1)]), x[1])
+            to_x = np.maximum(to_x, at_x)
+        else:
+            to_x, to_y = x[1], y[1]
+        bound += np.minimum(to_x - at_x, to_y - at_y)
+        at_x, at_y = to_x, to_y
+    return bound
 
 
-def _verify(threshold: float):
+def verified(threshold: float, a: np.ndarray, b: np.ndarray, pos: np.ndarray, size: np.ndarray, lists: list[np.ndarray], most: int = 2_000_000):
+    """(a, b, jaccard) of the pairs of rows that reach the threshold. size: of the whole sets; lists: their shared tokens."""
     share = threshold / (1 + threshold)
+    held = np.array(list(map(len, lists)), np.int64)
+    end = np.cumsum(held)
+    begin = end - held
+    flat, tokens = np.unique(np.concatenate([np.empty(0, np.uint64), *lists]), return_inverse=True)
+    shift = max(1, int(len(flat)).bit_length())
+    keys = np.repeat(np.arange(len(lists)), held) << shift | tokens
+    need = np.ceil(share * (size[a] + size[b]) - 1e-9).astype(np.int64)
+    from_a = begin[a] + np.maximum(0, pos - (size[a] - held[a]))
+    from_b = np.searchsorted(keys, b << shift | tokens[np.minimum(from_a, len(tokens) - 1)]) if len(a) else from_a
+    ok = suffix_bounds(keys, tokens, (from_a, end[a]), (from_b, end[b]), a, shift) >= need
+    a, b, need, from_b = a[ok], b[ok], need[ok], from_b[ok]
+    order = np.argsort(a, kind="stable")
+    a, b, need, from_b = a[order], b[order], need[order], from_b[order]
+    mark = np.zeros(len(flat), bool)
+    both = np.empty(len(a), np.int64)
+    for first, last in _cuts(a):
+        own = tokens[begin[a[first]] : end[a[first]]]
+        mark[own] = True
+        n = end[b[first:last]] - from_b[first:last]
+        sums = np.cumsum(n)
+        done = 0
+        while done < len(n):
+            k = max(done + 1, int(np.searchsorted(sums, (sums[done - 1] if done else 0) + most, "right")))
+            m = n[done:k]
+            start = np.cumsum(m) - m
+            at = np.arange(int(m.sum())) + np.repeat(from_b[first + done : first + k] - start, m)
+            hits = np.append(0, np.cumsum(mark[tokens[at]]))
+            both[first + done : first + k] = hits[start + m] - hits[start]
+            done = k
+        mark[own] = False
+    ok = both >= need
+    a, b, both = a[ok], b[ok], both[ok]
+    return a, b, both / (size[a] + size[b] - both)
+
+
+def _cell(threshold: float, pairs: pa.Table, lists: pa.Table):
+    """The verified pairs of a division of a home, as positions in lists."""
+    lists = lists.sort_by("row")
+    row = lists.column("row").to_numpy()
+    a, b = (np.searchsorted(row, pairs.column(c).to_numpy()) for c in ("row_a", "row_b"))
+    found = verified(threshold, a, b, pairs.column("pos_a").to_numpy().astype(np.int64), lists.column("size").to_numpy().astype(np.int64), [unpack(x)[0] for x in lists.column("tokens").to_pylist()])
+    return lists, *found
+
+
+def _verify_pairs(threshold: float):
+    """(id_a, id_b, jaccard) of each pair."""
 
     def run(pairs: pa.Table, lists: pa.Table) -> pa.Table:
-        tokens = {row: (i, n, unpack(blob)[0]) for row, i, n, blob in zip(*(lists.column(c).to_pylist() for c in ("row", "doc_id", "size", "tokens")))}
-        got: list[tuple[int, int, float]] = []
-        for a, b, i in zip(*(pairs.column(c).to_pylist() for c in ("row_a", "row_b", "pos_a"))):
-            (id_a, n, x), (id_b, m, y) = tokens[a], tokens[b]
-            need = int(np.ceil(share * (n + m) - 1e-9))
-            i = max(0, i - (n - len(x)))
-            j = int(np.searchsorted(y, x[i]))
-            if suffix_bound(x[i:], y[j:]) < need:
-                continue
-            both = np.concatenate((x[i:], y[j:]))
-            both.sort()
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            if shared >= need and id_a != id_b:
-                got.append((min(id_a, id_b), max(id_a, id_b), shared / (n + m - shared)))
-        a, b, s = zip(*got) if got else ((), (), ())
-        return pa.table({"doc_id_a": pa.array(a, pa.int64()), "doc_id_b": pa.array(b, pa.int64()), "jaccard": pa.array(s, pa.float64())})
+        lists, a, b, jaccard = _cell(threshold, pairs, lists)
+        ids = lists.column("doc_id").combine_chunks()
+        return pa.table({"id_a": ids.take(pa.array(a)), "id_b": ids.take(pa.array(b)), "jaccard": pa.array(jaccard)})
 
     return run
 
 
-PAIRS = "doc_id_a long, doc_id_b long, jaccard double"
+def _verify_links(threshold: float):
+    """Of each row with partners how many rows these stand for, its highest index, and a row that it is connected with here: no more rows than lists, however many pairs."""
 
+    def run(pairs: pa.Table, lists: pa.Table) -> pa.Table:
+        lists, a, b, jaccard = _cell(threshold, pairs, lists)
+        ids, copies, n = lists.column("doc_id").combine_chunks(), lists.column("copies").to_numpy(), lists.num_rows
+        links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+        best, root = np.zeros(n), np.arange(n)
+        for x in (a, b):
+            np.maximum.at(best, x, jaccard)
+        while True:
+            low = root.copy()
+            np.minimum.at(low, a, root[b])
+            np.minimum.at(low, b, root[a])
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        who = pa.array(np.flatnonzero(links))
+        return pa.table({"row": lists.column("row").combine_chunks().take(who), "doc_id": ids.take(who), "root": ids.take(pa.array(root)).take(who), "links": pa.array(links.astype(np.int64)).take(who), "best": pa.array(best).take(who)})
 
-def ngram_jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard) of documents whose sets of word n-grams have a Jaccard index of `threshold` or more.
-
-    doc_id_a < doc_id_b. Documents with equal sets are paired with the lowest id among them
-    (jaccard 1.0), and that document alone is paired with others: every other pair follows
-    from these, and copies don't make a quadratic number of rows. The result is exact but
-    for collisions of 56-bit n-gram hashes.
-
-    A text of fewer than n words has one n-gram of all its words. NULL texts, empty texts
-    and texts without words have none and pair with nothing. Rows with a NULL id are left
-    out, as no pair could name them. Rows that repeat an id are compared like others, but an
-    id isn't paired with itself and a pair of ids is given once, with its highest index. An
-    empty table gives an empty result; other columns are left out.
-    """
-    return _pairs(docs, threshold, n, id_col, text_col).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    return run
 
 
-def _pairs(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs; those of ids that several rows have may come more than once."""
+def _joined_lists(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str):
+    """(lists, first, near): all rows; of each n-gram set the row that stands for it; and a function of a cell's verification that gives its rows."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    docs = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr("CAST(doc_id AS LONG) doc_id", "text")
+    docs = pick(docs, doc_id=id_col, text=text_col)
+    kind = docs.dtypes[0][1]
     total, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(16, total // BUCKET_BYTES)
     homes = max(64, rows // HOME_DOCS)
+    tasks = max(8, total // TASK_BYTES)
     lists = (
         docs.mapInArrow(_scatter(n, buckets), ROUTED)
-        .repartition("route")
+        .repartition(tasks, "route")
         .sortWithinPartitions("route")
         .mapInArrow(_frequencies, ROUTED)
-        .repartition("chunk")
+        .repartition(tasks, "chunk")
         .sortWithinPartitions("chunk")
-        .mapInArrow(_lists(threshold, homes), LISTS)
+        .mapInArrow(_lists(threshold, homes), _LISTS.format(kind))
     )
     lists = written(lists)
-    first = lists.groupBy("mark1", "mark2").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    alike = lists.select("mark1", "mark2", "doc_id").join(first, ["mark1", "mark2"]).select(F.col("first.doc_id").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard")).where("doc_id_a < doc_id_b")
-    single = written(lists.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select("row", "doc_id", "size", "home", "tokens"))
+    live = lists.where("tokens IS NOT NULL")
+    first = live.groupBy("mark1", "mark2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    single = written(live.join(first.select(F.col("first.row").alias("row"), "copies"), "row").select("row", "doc_id", "size", "home", "copies", "tokens"))
     postings = single.select("row", "size", "home", "tokens").mapInArrow(_postings(threshold), POSTINGS)
-    together = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(max(16, rows // ROUTE_DOCS)), ROUTED)
-    found = together.repartition("route").sortWithinPartitions("route").mapInArrow(_candidates(threshold), CANDIDATES)
+    together = postings.repartition(tasks, "token").sortWithinPartitions("token").mapInArrow(_meet(max(16, rows // ROUTE_DOCS), threshold), ROUTED)
+    found = together.repartition(tasks, "route").sortWithinPartitions("route").mapInArrow(_candidates(threshold), CANDIDATES)
     pairs = written(found.groupBy("row_a", "row_b").agg(F.first("home_a").alias("home_a"), F.min("pos_a").alias("pos_a")))
     parts = pairs.groupBy("home_a").agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).cast("long").alias("parts")).where("parts > 1")
     share = F.coalesce(F.pmod(F.xxhash64("row_a"), F.col("parts")), F.lit(0)).cast("int")
     placed = pairs.join(small(written(parts)), "home_a", "left").select(F.col("home_a").alias("at"), share.alias("part"), "row_a", "row_b", "pos_a")
     needed = placed.select(F.col("at").alias("home"), F.col("part").alias("division"), F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
-    there = needed.join(single.select("row", "doc_id", "size", "tokens"), "row")
-    near = placed.groupBy("at", "part").cogroup(there.groupBy("home", "division")).applyInArrow(_verify(threshold), PAIRS)
-    return near.unionByName(alike)
+    there = needed.join(single.select("row", "doc_id", "size", "copies", "tokens"), "row")
+
+    def near(verify, schema: str) -> DataFrame:
+        return placed.groupBy("at", "part").cogroup(there.groupBy("home", "division")).applyInArrow(verify(threshold), schema.format(kind=kind))
+
+    return lists, first, near
+
+
+def ngram_jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text", copies: bool = False) -> DataFrame:
+    """(doc_id_a, doc_id_b, jaccard) of documents whose sets of word n-grams have a Jaccard index of `threshold` or more.
+
+    doc_id_a < doc_id_b. Documents with equal sets are paired with the lowest id among them
+    (jaccard 1.0), and that document alone is paired with others: every other pair follows
+    from these, and copies don't make a quadratic number of rows. With `copies`, all pairs of
+    all documents are given. The result is exact but for collisions of 56-bit n-gram hashes.
+
+    A text of fewer than n words has one n-gram of all its words; a very long text is compared
+    whole. NULL texts, empty texts and texts without words have none and pair with nothing.
+    Rows with a NULL id are left out, as no pair could name them. Rows that repeat an id are
+    compared like others, but an id isn't paired with itself and a pair of ids is given once,
+    with its highest index. Ids may be of any type that has an order. An empty table gives an
+    empty result; other columns are left out.
+    """
+    lists, first, near = _joined_lists(docs, threshold, n, id_col, text_col)
+    found = near(_verify_pairs, "id_a {kind}, id_b {kind}, jaccard double")
+    sets = lists.where("tokens IS NOT NULL").select("mark1", "mark2", F.col("doc_id").alias("id_b")).join(first, ["mark1", "mark2"])
+    alike = sets.select(F.col("first.doc_id").alias("id_a"), "id_b", F.lit(1.0).alias("jaccard"))
+    if copies:
+        of = written(sets.select(F.col("first.doc_id").alias("of"), "mark1", "mark2", "id_b"))
+        by = lambda side: of.select(F.col("of").alias(f"id_{side}"), F.col("id_b").alias(f"copy_{side}")).distinct()
+        found = found.join(by("a"), "id_a").join(by("b"), "id_b").select(F.col("copy_a").alias("id_a"), F.col("copy_b").alias("id_b"), "jaccard")
+        one = of.select("mark1", "mark2", "id_b").distinct()
+        alike = one.join(one.withColumnRenamed("id_b", "id_a"), ["mark1", "mark2"]).select("id_a", "id_b", F.lit(1.0).alias("jaccard"))
+    both = found.unionByName(alike).where("id_a <> id_b")
+    return both.select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b"), "jaccard").groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def _linked(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str):
+    """(lists, first, links, edges): as _joined_lists, with each standing row's links and the edges that connect ids."""
+    lists, first, near = _joined_lists(docs, threshold, n, id_col, text_col)
+    links = written(near(_verify_links, "row long, doc_id {kind}, root {kind}, links long, best double"))
+    alike = lists.where("tokens IS NOT NULL").select("mark1", "mark2", "doc_id").join(first, ["mark1", "mark2"]).select(F.col("first.doc_id").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"))
+    edges = links.select(F.col("root").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b")).unionByName(alike).where("doc_id_a <> doc_id_b")
+    return lists, first, links, edges
+
+
+def ngram_jaccard_classes(docs: DataFrame, threshold: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, links, best) of every row: the classes of documents connected by pairs of a Jaccard index of `threshold` or more.
+
+    class_id is the lowest id of the class, links the number of other rows whose n-gram sets
+    reach the threshold with this row's, copies counted each, and best the highest index among
+    them. All pairs count, found and verified as for ngram_jaccard_pairs; none is written out.
+
+    A row without a partner has its own id, 0 and NULL: rows with a NULL text or one without
+    words among them. Rows with a NULL id aren't compared and have a NULL class. Very long texts
+    are compared whole. Rows that repeat an id are compared each, with each other too, and are
+    of one class. Ids may be of any type that has an order. An empty table gives an empty
+    result; other columns are left out.
+    """
+    lists, first, links, edges = _linked(docs, threshold, n, id_col, text_col)
+    labels = groups(edges)
+    sums = links.groupBy("row").agg(F.sum("links").alias("others"), F.max("best").alias("best"))
+    sets = first.select("mark1", "mark2", F.col("first.row").alias("row"), "copies").join(sums, "row", "left").select("mark1", "mark2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.when(F.col("copies") > 1, 1.0).otherwise(F.col("best")).alias("best"))
+    rows = lists.select("doc_id", F.col("tokens").isNotNull().alias("live"), "mark1", "mark2")
+    found = rows.where("live").join(sets, ["mark1", "mark2"]).select("doc_id", "links", "best")
+    every = found.unionByName(rows.where("NOT live").select("doc_id", F.lit(0).cast("long").alias("links"), F.lit(None).cast("double").alias("best")))
+    return every.join(labels, "doc_id", "left").select("doc_id", F.coalesce("first", "doc_id").alias("class_id"), "links", "best")
 
 
 def _stars(batches):
     """Each node of a partition's pairs with the lowest node it is connected with there: no more rows than nodes, however many pairs."""
-    above: dict[int, int] = {}
+    above: dict = {}
 
-    def root(x: int) -> int:
+    def root(x):
         while above[x] != x:
             above[x] = x = above[above[x]]
         return x
 
+    kind = None
     for batch in batches:
+        kind = batch.column(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             above.setdefault(a, a)
             above.setdefault(b, b)
@@ -459,7 +686,7 @@ def _stars(batches):
     nodes = [x for x in above if root(x) != x]
     for k in range(0, len(nodes), 100_000):
         part = nodes[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([root(x) for x in part], pa.int64()), pa.array(part, pa.int64())], ["doc_id_a", "doc_id_b"])
+        yield pa.RecordBatch.from_arrays([pa.array([root(x) for x in part], kind), pa.array(part, kind)], ["doc_id_a", "doc_id_b"])
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -469,7 +696,8 @@ def groups(pairs: DataFrame) -> DataFrame:
     round, a node takes the lowest label among its own and its neighbours' and then its
     label's label, so that chains shorten by half; rounds are written tables.
     """
-    pairs = written(pairs.select("doc_id_a", "doc_id_b").mapInArrow(_stars, "doc_id_a long, doc_id_b long"))
+    kind = pairs.select("doc_id_a").dtypes[0][1]
+    pairs = written(pairs.select("doc_id_a", "doc_id_b").mapInArrow(_stars, f"doc_id_a {kind}, doc_id_b {kind}"))
     edges = written(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).unionByName(pairs.select(F.col("doc_id_b").alias("a"), F.col("doc_id_a").alias("b"))))
     labels = written(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("first")))
     while True:
@@ -487,8 +715,8 @@ def keep_one_of_each_group(docs: DataFrame, threshold: float = 0.5, n: int = 3,
     """docs without near duplicates, with all columns: of each group connected by pairs the document of the lowest id stays.
 
     Rows with a NULL id or without words stay. Rows that share an id count as one document
-    and stay or go together.
+    and stay or go together. Very long texts are compared whole; an empty table stays empty.
     """
-    gone = groups(_pairs(docs, threshold, n, id_col, text_col)).where("doc_id <> first").select(F.col("doc_id").alias("_gone"))
+    gone = groups(_linked(docs, threshold, n, id_col, text_col)[3]).where("doc_id <> first").select(F.col("doc_id").alias("_gone"))
     gone = small(written(gone))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")

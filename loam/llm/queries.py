@@ -8,7 +8,7 @@ from loam.llm.duck_bpe import encode_and_decode
 from loam.llm.fingerprints import simhash_neighbours
 from loam.llm.huffman import huffman_blocks
 from loam.llm.language_id import fit_language_filters, identify_language
-from loam.llm.ngram_join import ngram_jaccard_pairs
+from loam.llm.ngram_join import ngram_jaccard_classes
 from loam.llm.packing import pack_windows
 from loam.llm.pii import redact_pii
 from loam.llm.quality_rules import apply_quality_rules, learn_quality_rules
@@ -39,7 +39,7 @@ QUERIES = {
     "op2_language_id": _language,
     "op3_packing": lambda spark, sf_dir: pack_windows(documents(spark, sf_dir)),
     "op4_pii": lambda spark, sf_dir: redact_pii(documents(spark, sf_dir)),
-    "op5_ngram_jaccard_join": lambda spark, sf_dir: ngram_jaccard_pairs(documents(spark, sf_dir)),
+    "op5_ngram_jaccard_join": lambda spark, sf_dir: ngram_jaccard_classes(documents(spark, sf_dir)),
     "op6_fingerprints": lambda spark, sf_dir: simhash_neighbours(documents(spark, sf_dir), wide=12),
     "op7_bpe": lambda spark, sf_dir: encode_and_decode(documents(spark, sf_dir)),
     "op8_huffman": lambda spark, sf_dir: huffman_blocks(documents(spark, sf_dir)),
@@ -48,13 +48,14 @@ QUERIES = {
 }
 
 _NGRAMS = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) ELSE [array_to_string(ws, ' ')] END)) AS s FROM w WHERE len(ws) > 0),
-one AS (SELECT s, min(doc_id) AS doc_id FROM g GROUP BY s),
-t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM one),
-near AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS jaccard FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT * FROM near WHERE jaccard >= 0.5
-UNION ALL SELECT one.doc_id, g.doc_id, 1.0 FROM g JOIN one USING (s) WHERE one.doc_id < g.doc_id
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) ELSE [array_to_string(ws, ' ')] END) AS s FROM w WHERE len(ws) > 0),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+near AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS jaccard FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+linked AS (SELECT * FROM near WHERE jaccard >= 0.5),
+reached(a, b) AS (SELECT a, b FROM linked UNION SELECT reached.a, linked.b FROM reached JOIN linked ON reached.b = linked.a),
+classes AS (SELECT a, min(b) AS low FROM reached GROUP BY a)
+SELECT doc_id, least(doc_id, low) AS class_id, count(linked.a) AS links, max(jaccard) AS best FROM documents LEFT JOIN classes ON classes.a = doc_id LEFT JOIN linked ON linked.a = doc_id GROUP BY 1, 2
 """
 
 _SHARDS = """
