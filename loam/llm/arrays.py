@@ -65,7 +65,7 @@ def utf8(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def runs(offsets: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def runs(offsets: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts of about `most` bytes together; one text is never cut."""
     n, first = len(offsets) - 1, 0
     while first < n:

@@ -20,9 +20,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """df.mapInArrow(run) to df's own columns, whatever their names."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def small(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """A written table of few narrow columns with the hint to broadcast it, if it has at most so many rows; else as it is, for a shuffled join."""
     return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
 
 
-__all__ = ["TOKENIZERS", "WORD_VOCABULARY", "pick", "quoted", "shared_dir", "small", "written"]
+__all__ = ["TOKENIZERS", "WORD_VOCABULARY", "map_rows", "pick", "quoted", "shared_dir", "small", "written"]

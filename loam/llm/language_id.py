@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm.arrays import mix, runs, sliced, utf8
-from loam.llm.common import pick
+from loam.llm.arrays import mix, runs, sliced, steady_memory, utf8
+from loam.llm.common import map_rows, pick
 
 UNKNOWN = "und"
+#: A text with few n-grams is too short to tell below so many bytes for each n-gram that it lacks to min_grams.
+BRIEF = 20
 #: Letters keep their byte; all else is a separator.
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
@@ -26,7 +28,7 @@ _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)]
 @dataclass(frozen=True)
 class LanguageFilters:
     languages: tuple[str, ...]
-    table: np.ndarray  # at each position one bit per language
+    table: np.ndarray  # at each position one bit per language, eight a byte
     false_positives: np.ndarray  # the rate of each language's filter
     n: int
     hashes: int
@@ -61,36 +63,34 @@ def _positions(gram: np.ndarray, hashes: int, bits: int):
 
 
 def build_filters(languages: list[str], members: list[np.ndarray], n: int, bits: int = 17, hashes: int = 3) -> LanguageFilters:
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages fit a mask")
-    kind = np.uint8 if len(languages) <= 8 else np.uint64
-    table = np.zeros(1 << bits, kind)
+    """Filters of any number of languages: a mask has a byte for eight of them."""
+    table = np.zeros((1 << bits, max(1, -(-len(languages) // 8))), np.uint8)
     rates = []
     for i, gram in enumerate(members):
-        bit = kind(1 << i)
+        own, bit = table[:, i // 8], np.uint8(1 << i % 8)
         for at in _positions(gram, hashes, bits):
-            table[at] |= bit
-        rates.append(float(np.count_nonzero(table & bit)) / len(table))
+            own[at] |= bit
+        rates.append(float(np.count_nonzero(own & bit)) / len(table))
     return LanguageFilters(tuple(languages), table, np.array(rates) ** hashes, n, hashes)
 
 
 def fit_language_filters(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 500, grams_per_language: int = 2000, n: int = 4, bits: int = 17, hashes: int = 3) -> LanguageFilters:
-    """Filters of each language's most frequent n-grams, from a bounded sample of labelled rows.
+    """Filters of each language's profile, its grams_per_language most frequent n-grams, from a bounded sample of labelled rows.
 
-    docs_per_language bounds the sample: the rows with the lowest hashes of their texts.
-    Rows without text or language are left out. A table without labelled rows gives filters
-    of no language, under which every text is undetermined.
+    docs_per_language bounds the sample: the texts with the lowest hashes, whole and each
+    once, however often it is repeated. Any number of languages goes. Rows with a NULL or
+    empty text or without a language are left out, and so are other columns. A table without
+    labelled rows gives filters of no language, under which every text is undetermined.
     """
     labelled = pick(docs, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text <> ''")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = F.xxhash64("text")
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.approx_count_distinct(order, 0.03).alias("n")).collect()}
     if not counts:
         return build_filters([], [], n, bits, hashes)
-    share = F.lit(0.0)
-    for lang, total in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * docs_per_language / total + 20 / total))).otherwise(share)
-    order = F.xxhash64("text")
-    sample = labelled.where(F.pmod(order, F.lit(1_000_003)) < share * 1_000_003)
-    sample = sample.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "text"))).where(F.col("k") <= docs_per_language)
+    shares = labelled.sparkSession.createDataFrame([(lang, min(1.0, 1.5 * docs_per_language / max(1, total) + 30 / max(1, total))) for lang, total in counts.items()], "lang string, share double")
+    sample = labelled.join(F.broadcast(shares), "lang").where(F.pmod(order, F.lit(1_000_003)) < F.col("share") * 1_000_003).select("text", "lang", order.alias("hash"))
+    sample = sample.groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    sample = sample.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("k") <= docs_per_language)
 
     def count(batches):
         for batch in batches:
@@ -113,13 +113,13 @@ def fit_language_filters(docs: DataFrame, text_col: str = "text", lang_col: str
 
 def language_counts(filters: LanguageFilters, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each text how many n-grams each language's filter holds (texts x languages), and how many there are."""
-    n, width = len(offsets) - 1, filters.table.dtype.itemsize
+    n, width = len(offsets) - 1, filters.table.shape[1]
     gram, doc = grams(data, offsets, filters.n)
     mask = None
     for at in _positions(gram, filters.hashes, len(filters.table).bit_length() - 1):
-        found = filters.table[at]
+        found = filters.table[at] if width > 1 else filters.table[:, 0][at]
         mask = found if mask is None else mask & found
-    planes = mask.view(np.uint8).reshape(-1, width)
+    planes = mask.reshape(-1, width)
     bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
     hits = [np.bincount(doc * 256 + planes[:, w], minlength=n * 256).reshape(n, 256) @ bits for w in range(width)]
     return np.concatenate(hits, axis=1)[:, : len(filters.languages)], np.bincount(doc, minlength=n)
@@ -149,18 +149,20 @@ def _judge(filters: LanguageFilters, column: pa.Array, min_share: float, min_lea
         shares.append(share)
         totals.append(total)
     share, total = np.concatenate(shares), np.concatenate(totals)
-    return np.concatenate(who), share, total, ((share >= min_share) | (total < min_grams)) & np.asarray(column.is_valid())
+    brief = (total < min_grams) & (np.diff(offsets) < BRIEF * min_grams)
+    return np.concatenate(who), share, total, ((share >= min_share) | brief) & np.asarray(column.is_valid())
 
 
 def keep_known_languages(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", min_share: float = 0.15, min_grams: int = 20) -> DataFrame:
-    """The rows that identify_language keeps, with all their columns."""
+    """The rows that identify_language keeps, with all their columns: NULL texts go, short ones stay, equal rows stay or go together, an empty table stays empty."""
     at = docs.columns.index(text_col)
 
     def run(batches):
+        steady_memory()
         for batch in batches:
             yield batch.filter(pa.array(_judge(filters, batch.column(at), min_share, 0.0, min_grams)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def identify_language(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text", min_share: float = 0.15, min_lead: float = 0.05, min_grams: int = 20) -> DataFrame:
@@ -169,14 +171,17 @@ def identify_language(docs: DataFrame, filters: LanguageFilters, id_col: str = "
     share is the corrected share of the text's n-grams that the language contains. A text is
     'und' where no language has min_share of them or the best leads by less than min_lead:
     NULL and empty texts and texts too short for an n-gram have share 0 and are 'und', and
-    so is a tie. keep is false for NULL texts and where of at least min_grams n-grams no
-    language has min_share: a text too short to tell, or one of two languages, is kept. Equal rows get equal results; an empty table gives an empty one; other
-    columns are left out.
+    so is a tie. keep is false for NULL texts and where no language has min_share, unless the
+    text is too short to tell: of fewer than min_grams n-grams in less than 20 bytes for each
+    of these. A text of two languages is kept. Whole texts count, however long. Equal rows get
+    equal results; NULL ids are no matter; an empty table gives an empty one; other columns are
+    left out.
     """
     names = np.array([*filters.languages, UNKNOWN], object)
     kind = docs.select(F.col("`" + id_col.replace("`", "``") + "`")).dtypes[0][1]
 
     def run(batches):
+        steady_memory()
         for batch in batches:
             best, share, total, keep = _judge(filters, batch.column(1), min_share, min_lead, min_grams)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(share), pa.array(total), pa.array(keep)], ["doc_id", "language", "share", "n_grams", "keep"])
