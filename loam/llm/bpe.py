@@ -40,9 +40,8 @@ class Merges:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.pairs = pairs
         keys, values = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
-        bits = int(6 * len(pairs) + 64).bit_length()
+        bits = int(3 * len(pairs) + 64).bit_length()
         self.shift = np.uint64(64 - bits)
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
         live, slot = np.arange(len(keys)), self._slots(keys)
@@ -62,6 +61,12 @@ class Merges:
         self.doubtful[left[merged[left] & (left >= rank)]] = True
         self.doubtful[right[merged[right] & (right >= rank)]] = True
 
+    @property
+    def pairs(self) -> dict[int, int]:
+        """The rank of each pair, known by left << 32 | right."""
+        there = self.keys >= 0
+        return dict(zip(self.keys[there].tolist(), self.values[there].tolist()))
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair; NONE where it doesn't merge."""
         key = np.asarray(left, np.int64) << 32 | right

@@ -11,8 +11,18 @@ TOKENIZERS = "/opt/tokenizers"
 WORD_VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(df: DataFrame) -> None:
+    """Makes Arrow batches 1000 rows long where the session leaves Spark's 10,000, which are meant for numbers: of texts they take tens of MB, several times over, in the JVM and in Python."""
+    if df.sparkSession.conf.get(ARROW_ROWS) == "10000":
+        df.sparkSession.conf.set(ARROW_ROWS, "1000")
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: no other column can clash."""
+    text_batches(df)
     return df.select([quoted(name).alias(own) for own, name in columns.items()])
 
 
@@ -22,6 +32,7 @@ def quoted(name: str) -> Column:
 
 def map_rows(df: DataFrame, run) -> DataFrame:
     """df.mapInArrow(run) to df's own columns, whatever their names."""
+    text_batches(df)
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 

@@ -40,8 +40,9 @@ class DuckBpe:
         self.table = Merges(load_ranks(path))
         self.words_at_once = words_at_once
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
-        pairs = np.array(list(self.table.pairs), np.int64)
-        merges = pa.table({"a": (pairs >> 32).astype(np.int32), "b": (pairs & (2**32 - 1)).astype(np.int32), "r": np.array(list(self.table.pairs.values()), np.int32)})
+        there = self.table.keys >= 0
+        pairs = self.table.keys[there]
+        merges = pa.table({"a": (pairs >> 32).astype(np.int32), "b": (pairs & (2**32 - 1)).astype(np.int32), "r": self.table.values[there]})
         ids = sorted(self.table.bytes_of)
         vocabulary = pa.table({"t": pa.array(ids, pa.int32()), "s": [self.table.bytes_of[i].decode("latin-1") for i in ids]})  # a character for each byte
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")

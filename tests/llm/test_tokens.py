@@ -51,12 +51,13 @@ def test_duckdb_contracts_random_words_like_a_plain_loop():
     columns = np.frombuffer(b"".join(words), np.uint8), np.array(list(map(len, words)))
     flat, start = duck.merge(*columns)
     merges = Merges(load_ranks(WORD_VOCABULARY))
+    pairs = merges.pairs
     assert all((x == y).all() for x, y in zip(merges.symbols(*columns), (flat, start)))
     assert all(merges.by_ranks(np.frombuffer(w, np.uint8)).tolist() == flat[a:b].tolist() for w, a, b in zip(words, start, start[1:]))
     for i, w in enumerate(words):
         ids = [merges.of_byte[b] for b in w]
         while True:
-            ranks = [merges.pairs.get(int(a) << 32 | int(b), 1 << 40) for a, b in zip(ids, ids[1:])]
+            ranks = [pairs.get(int(a) << 32 | int(b), 1 << 40) for a, b in zip(ids, ids[1:])]
             if not ranks or min(ranks) == 1 << 40:
                 break
             at = ranks.index(min(ranks))
@@ -66,6 +67,7 @@ def test_duckdb_contracts_random_words_like_a_plain_loop():
 
 def test_forgetting_pieces_changes_nothing(texts, reference):
     merges = Merges(load_ranks(WORD_VOCABULARY))
+    pairs = merges.pairs
     some = list(texts.values())[:40]
     for most in (10, 300):
         held = Pieces(merges.ranks, merges.symbols, most)
@@ -80,12 +82,13 @@ def test_a_vocabulary_whose_merges_make_lower_pairs():
         more = list({"".join(r.choice("ab") for _ in range(r.randint(2, 5))).encode() for _ in range(14)})
         tokens.update({t: 256 + i for i, t in enumerate(more)})
         merges = Merges(tokens)
+        pairs = merges.pairs
         words = ["".join(r.choice("aab") for _ in range(r.randint(1, 40))).encode() for _ in range(60)]
         flat, start = merges.symbols(np.frombuffer(b"".join(words), np.uint8), np.array(list(map(len, words))))
         for w, a, b in zip(words, start, start[1:]):
             ids = [merges.of_byte[x] for x in w]
             while len(ids) > 1:
-                ranks = [merges.pairs.get(int(x) << 32 | int(y), 1 << 40) for x, y in zip(ids, ids[1:])]
+                ranks = [pairs.get(int(x) << 32 | int(y), 1 << 40) for x, y in zip(ids, ids[1:])]
                 if min(ranks) == 1 << 40:
                     break
                 at = ranks.index(min(ranks))
