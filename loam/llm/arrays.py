@@ -7,7 +7,7 @@ text in lower case. Words and n-grams are known by 64-bit hashes.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,21 @@ WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _powers = np.ones(1, np.uint64)
 
 
-def steady_memory() -> None:
-    """Large arrays go back to the system when they are freed, so that a worker that runs many steps holds no more than one needs. Without glibc nothing changes."""
+#: How to drop what an operator holds between the tasks of a worker, by its name.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def held_between_tasks(name: str, drop: Callable[[], None]) -> None:
+    _HELD[name] = drop
+
+
+def steady_memory(keep: str = "") -> None:
+    """A worker that runs many steps holds no more than one needs: what other operators than `keep` hold is dropped, and large arrays, Arrow's too, go back to the system when they are freed. Without glibc the latter isn't so."""
+    for name, drop in _HELD.items():
+        if name != keep:
+            drop()
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed

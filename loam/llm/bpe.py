@@ -13,7 +13,7 @@ import heapq
 import numpy as np
 import regex
 
-from loam.llm.arrays import hashes, mix
+from loam.llm.arrays import hashes, held_between_tasks, mix
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.iinfo(np.int32).max
@@ -407,6 +407,7 @@ def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 _held: dict = {}
+held_between_tasks("bpe", _held.clear)
 
 
 def held_pieces(path: str) -> Pieces:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loam.llm.arrays import runs, sliced, steady_memory, utf8
+from loam.llm.arrays import held_between_tasks, runs, sliced, steady_memory, utf8
 from loam.llm.bpe import LONG, Merges, Pieces, load_ranks
 from loam.llm.common import WORD_VOCABULARY, pick, quoted
 
@@ -105,6 +105,7 @@ class DuckBpe:
 
 
 _held: dict[str, DuckBpe] = {}
+held_between_tasks("duck_bpe", _held.clear)
 
 
 def held_duck(path: str) -> DuckBpe:
@@ -136,7 +137,7 @@ def encode_bpe(docs: DataFrame, vocabulary: str = WORD_VOCABULARY, id_col: str =
     """
 
     def run(batches):
-        steady_memory()
+        steady_memory("duck_bpe")
         duck = held_duck(vocabulary)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -171,7 +172,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str = WORD_VOCABULARY, id_col
     """
 
     def run(batches):
-        steady_memory()
+        steady_memory("duck_bpe")
         duck = held_duck(vocabulary)
         for batch in batches:
             data, offsets = utf8(batch.column(1))

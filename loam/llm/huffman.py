@@ -137,7 +137,7 @@ def tokenized(docs: DataFrame, vocabulary: str = WORD_VOCABULARY, id_col: str =
     kind = docs.select(quoted(id_col)).dtypes[0][1]
 
     def run(batches):
-        steady_memory()
+        steady_memory("bpe")
         pieces = held_pieces(vocabulary)
         for batch in batches:
             data, offsets = utf8(batch.column(1))

@@ -23,7 +23,7 @@ def token_count(text: Column, vocabulary: str = WORD_VOCABULARY) -> Column:
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        steady_memory()
+        steady_memory("bpe")
         pieces = held_pieces(vocabulary)
         for batch in batches:
             data, offsets = utf8(batch)
