@@ -138,17 +138,22 @@ def tokenized(docs: DataFrame, vocabulary: str = WORD_VOCABULARY, id_col: str =
 
     def run(batches):
         steady_memory("bpe")
-        pieces = held_pieces(vocabulary)
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            parts = [pieces.ids(*sliced(data, offsets, a, b)) for a, b in runs(offsets, AT_ONCE)]
-            raw = np.concatenate([np.empty(0, wide), *(ids.astype(wide) for ids, _ in parts)])
-            ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(n for _, n in parts)])) * raw.itemsize
-            yield pa.RecordBatch.from_arrays([batch.column(0), binaries(raw, ends, batch.column(1).is_null())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), token_bytes(batch.column(1), vocabulary, wide)], ["doc_id", "ids"])
 
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
+def token_bytes(texts: pa.Array, vocabulary: str, wide: str) -> pa.Array:
+    """The ids of each text as bytes; NULL for NULL."""
+    pieces = held_pieces(vocabulary)
+    data, offsets = utf8(texts)
+    parts = [pieces.ids(*sliced(data, offsets, a, b)) for a, b in runs(offsets, AT_ONCE)]
+    raw = np.concatenate([np.empty(0, wide), *(ids.astype(wide) for ids, _ in parts)])
+    ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(n for _, n in parts)])) * raw.itemsize
+    return binaries(raw, ends, texts.is_null())
+
+
 def binaries(values: np.ndarray, ends: np.ndarray, null: pa.Array) -> pa.Array:
     """The bytes of values, cut at ends (from 0), as an Arrow column."""
     valid = pa.compute.invert(null)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from loam.llm.arrays import mix, steady_memory
 from loam.llm.bpe import load_ranks
-from loam.llm.common import WORD_VOCABULARY, quoted, written
-from loam.llm.huffman import id_kind, tokenized
+from loam.llm.common import WORD_VOCABULARY, pick, quoted, written
+from loam.llm.huffman import id_kind, token_bytes
 
 _IDS_PER_GROUP = 1 << 32
 
@@ -109,10 +109,11 @@ def _pack(capacity: int, kind: str, end_id: int):
     return run
 
 
-def _keyed(groups: int, sizes: bool, width: int):
-    """The group of each row: by its key, but for rows that repeat a key in a partition, each of which gets a key of its own."""
+def _keyed(groups: int, vocabulary: str | None, kind: str):
+    """The tokens of each row, unless there is no vocabulary, and its group: by its key, but for rows that repeat a key in a partition, each of which gets a key of its own."""
 
     def run(batches):
+        steady_memory("bpe")
         seen: dict[int, int] = {}
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -124,11 +125,11 @@ def _keyed(groups: int, sizes: bool, width: int):
                         key[i] = mix(np.array([k], np.int64).view(np.uint64) + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0]
             else:
                 seen.update(dict.fromkeys(key.tolist(), 1))
-            if sizes:
+            if vocabulary is None:
                 size, ids = batch.column(2), pa.nulls(batch.num_rows, pa.binary())
             else:
-                ids = batch.column(2)
-                size = pa.array(pc.fill_null(pc.binary_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64) // width + 1)
+                ids = token_bytes(batch.column(2), vocabulary, kind)
+                size = pa.array(pc.fill_null(pc.binary_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize + 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.mod(key, groups)), pa.array(key), batch.column(1), size, ids], ["group", "key", "doc_id", "size", "ids"])
 
     return run
@@ -158,14 +159,13 @@ def pack_windows(docs: DataFrame, capacity: int = 2048, docs_per_group: int = 20
     if size is None:
         ranks = load_ranks(vocabulary)
         end_id, kind = max(ranks.values()) + 1, id_kind(vocabulary)
-        rows = tokenized(docs, vocabulary, id_col, text_col)
-        last, total = "ids", docs.count()
+        rows, last, total = pick(docs, doc_id=id_col, text=text_col), "text", docs.count()
     else:
         end_id, kind = -1, "<u2"
         rows = written(docs.select(quoted(id_col).alias("doc_id"), size.cast("long").alias("size")).where("size > 0"))
         last, total = "size", rows.count()
     groups = max(1, -(-total // docs_per_group))
     doc = rows.dtypes[0][1]
-    keyed = rows.select(F.xxhash64(F.lit(seed), "doc_id").alias("key"), "doc_id", last).mapInArrow(_keyed(groups, size is not None, np.dtype(kind).itemsize), f"group long, key long, doc_id {doc}, size long, ids binary")
+    keyed = rows.select(F.xxhash64(F.lit(seed), "doc_id").alias("key"), "doc_id", last).mapInArrow(_keyed(groups, vocabulary if size is None else None, kind), f"group long, key long, doc_id {doc}, size long, ids binary")
     ordered = keyed.repartition("group").sortWithinPartitions("group", "key", "doc_id", "size").select("group", "doc_id", "size", "ids")
     return ordered.mapInArrow(_pack(capacity, kind, end_id), f"doc_id {doc}, start long, length long, window_id long, window_offset long, ids array<int>")
