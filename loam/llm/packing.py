@@ -14,6 +14,8 @@ from loam.llm.common import WORD_VOCABULARY, pick, quoted, written
 from loam.llm.huffman import id_kind, token_bytes
 
 _IDS_PER_GROUP = 1 << 32
+#: A task packs one group; beyond so many tasks, several groups one after another.
+MOST_TASKS = 20_000
 
 
 class SumOfSquares:
@@ -167,5 +169,6 @@ def pack_windows(docs: DataFrame, capacity: int = 2048, docs_per_group: int = 20
     groups = max(1, -(-total // docs_per_group))
     doc = rows.dtypes[0][1]
     keyed = rows.select(F.xxhash64(F.lit(seed), "doc_id").alias("key"), "doc_id", last).mapInArrow(_keyed(groups, vocabulary if size is None else None, kind), f"group long, key long, doc_id {doc}, size long, ids binary")
-    ordered = keyed.repartition("group").sortWithinPartitions("group", "key", "doc_id", "size").select("group", "doc_id", "size", "ids")
+    tasks = min(groups, MOST_TASKS)
+    ordered = keyed.repartitionById(tasks, (F.col("group") % tasks).cast("int")).sortWithinPartitions("group", "key", "doc_id", "size").select("group", "doc_id", "size", "ids")
     return ordered.mapInArrow(_pack(capacity, kind, end_id), f"doc_id {doc}, start long, length long, window_id long, window_offset long, ids array<int>")
