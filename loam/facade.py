@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from datetime import datetime
 from pathlib import Path
 from typing import Any
@@ -15,7 +15,7 @@ from loam.config import DEFAULT, Config
 from loam.operators import dedup, freshness, health, lineage, planner, profile, retrieval, rules
 from loam.plans import checks
 from loam.sources import files
-from loam.sources.state import StateStore, append_history, markdown_report, without
+from loam.sources.state import StateStore, append_history, markdown_report, unlink_expired, without
 
 
 class Workspace:
@@ -164,24 +164,49 @@ class Workspace:
 
     # --- the cycle ---
 
-    def agent_cycle(self, execute: bool = False) -> dict[str, Any]:
-        """Signals, decisions and plan; with execute, the safe decisions are carried out."""
+    def agent_cycle(self, execute: bool = False, approved: Collection[str] = ()) -> dict[str, Any]:
+        """Signals, decisions and plan; with execute, the safe decisions and those of the approved kinds are carried out. The last 100 cycles and executions are kept."""
         found = checks.agent_cycle(self.chunks(), self.records(), self.config)
         decided = [r.asDict() for r in planner.messages(found["decisions"]).collect()]
         row = found["signals"].first()
         self.state.append("cycles", self.spark.range(1).select(self.as_of.alias("ts"), F.lit(row.health_score).alias("health_score")))
-        done = [self._execute(d["decision_type"]) for d in decided if d["decision_type"] in planner.AUTO_SAFE] if execute else []
+        self.state.keep_newest("cycles")
+        kinds = [d["decision_type"] for d in decided]
+        done = [self._execute(k, k in planner.AUTO_SAFE or k in approved) for k in kinds] if execute else []
+        if done:
+            rows = self.spark.createDataFrame([(d["decision_type"], d["status"], d["affected"]) for d in done], "decision_type string, status string, affected long")
+            self.state.append("executions", rows.withColumn("ts", self.as_of))
+            self.state.keep_newest("executions")
         return {"signals": row.asDict(), "decisions": decided, "plan": found["plan"].first().asDict(), "executed": done}
 
-    def _execute(self, kind: str) -> dict[str, Any]:
-        before = self.chunks().count()
-        if kind == "delete_duplicates":
-            self.remove_duplicates()
-        elif kind == "delete_empty_chunks":
-            self.write_chunks(without(self.chunks(), retrieval.noise_chunks(self.chunks())))
-        elif kind != "no_action":
+    def _execute(self, kind: str, allowed: bool = True) -> dict[str, Any]:
+        """Carries out one decision: 'success' with the rows or files it changed, 'skipped' without approval or a way to do it, 'failed' with the error."""
+        handlers: dict[str, Callable[[], int]] = {
+            "delete_duplicates": lambda: self._shrunk(self.remove_duplicates),
+            "delete_empty_chunks": lambda: self._shrunk(lambda: self.write_chunks(without(self.chunks(), retrieval.noise_chunks(self.chunks())))),
+            "quarantine": lambda: self._shrunk(lambda: self.write_chunks(without(self.chunks(), retrieval.quarantine_set(self.chunks())))),
+            "delete_expired": lambda: len(unlink_expired(self.records(), f"{self.root}/knowledge", really=True)),
+            "enrich_metadata": lambda: self.embed_quality().first().total,
+            "no_action": lambda: 0,
+        }
+        if not allowed or kind not in handlers:
             return {"decision_type": kind, "status": "skipped", "affected": 0}
-        return {"decision_type": kind, "status": "success", "affected": before - self.chunks().count()}
+        try:
+            return {"decision_type": kind, "status": "success", "affected": handlers[kind]()}
+        except Exception as e:
+            return {"decision_type": kind, "status": "failed", "affected": 0, "error": str(e)[:2000]}
+
+    def _shrunk(self, change: Callable[[], Any]) -> int:
+        before = self.chunks().count()
+        change()
+        return before - self.chunks().count()
+
+    def freshness_report(self) -> str:
+        return freshness.freshness_text(self.records(), self.as_of)
+
+    def save_freshness(self) -> None:
+        """The freshness records as the state's newest snapshot."""
+        self.state.replace("freshness", self.records().withColumn("scan_time", self.as_of))
 
     def governance_state(self) -> DataFrame:
         row = checks.signals(self.chunks(), self.records(), self.config).row
@@ -220,7 +245,7 @@ class Toolkit:
 
         nothing: dict[str, str] = {}
         self.tools: dict[str, tuple[str, dict[str, str], Callable[..., Any]]] = {
-            "governance_agent_cycle": ("Run one cycle", {"execute": "boolean"}, lambda execute=False: w.agent_cycle(execute)),
+            "governance_agent_cycle": ("Run one cycle", {"execute": "boolean", "approved": "array"}, lambda execute=False, approved=(): w.agent_cycle(execute, approved)),
             "governance_state": ("The state of the knowledge base", nothing, lambda: one(w.governance_state())),
             "governance_health_check": ("Health and its components", nothing, lambda: (lambda f: {"health": one(f["health"]), "components": rows(f["components"]), "alerts": rows(f["alerts"])})(w.health_check())),
             "governance_find_duplicates": ("Chunks that duplicates would remove", {"semantic": "boolean"}, lambda semantic=False: (lambda g: {"count": g.count(), "ids": [r.ordinal for r in g.orderBy("ordinal").limit(100).collect()]})(w.find_duplicates(semantic))),

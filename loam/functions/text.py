@@ -15,6 +15,7 @@ CJK = r"\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}"
 CONTROL = r"\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}"
 #: Neither letter, digit, white space, Chinese character nor common punctuation.
 SPECIAL = r"[^\p{L}\p{N}_" + WS + r"\x{4e00}-\x{9fff}.,;:!?()\x{22}\x{27}\x{ff0c}\x{3002}\x{ff1a}\x{ff1b}\x{ff01}\x{ff1f}\x{ff08}\x{ff09}\x{3001}]"
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 HEADING = rf"^#+[{WS}]"
 
 
@@ -40,7 +41,7 @@ def word_count(x: Column) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(text(x), rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(text(x), F.lit(_BLANKS))
 
 
 def is_blank(x: Column) -> Column:
@@ -99,8 +100,15 @@ def completeness_score(x: Column, min_length: int = 20, sections: Sequence[str]
 
 def chunk_quality(x: Column, min_length: int = 20) -> Column:
     """0.4 of what isn't gibberish, 0.3 of completeness, 0.3 of density against 0.7; 0 for blank texts."""
-    score = (1 - gibberish_score(x)) * 0.4 + completeness_score(x, min_length) * 0.3 + F.least(char_density(x) / 0.7, F.lit(1.0)) * 0.3
-    return F.when(is_blank(x), F.lit(0.0)).otherwise(score)
+    return quality_of(is_blank(x), gibberish_score(x), F.length(strip(x)), char_density(x), min_length)
+
+
+def quality_of(blank: Column, gibberish: Column, strip_length: Column, density: Column, min_length: int = 20) -> Column:
+    """chunk_quality of what was measured before."""
+    n = strip_length.cast("double")
+    complete = F.when(n >= min_length, F.lit(1.0)).otherwise(n / max(1, min_length))
+    score = (1 - gibberish) * 0.4 + complete * 0.3 + F.least(density / 0.7, F.lit(1.0)) * 0.3
+    return F.when(blank, F.lit(0.0)).otherwise(score)
 
 
 def age_days(updated: Column, as_of: Column) -> Column:
@@ -125,7 +133,8 @@ def xxh64_hex(x: Column) -> Column:
 
 
 def normalize(x: Column) -> Column:
-    return F.regexp_replace(strip(x), f"[{WS}]+", " ")
+    """Runs of white space as one blank, none at the ends. Lone blanks, most of them, need no replacing."""
+    return F.trim(F.regexp_replace(text(x), f"[{WS}]{{2,}}|[{WS}&&[^ ]]", " "))
 
 
 def normalized_hash(x: Column, normalized: bool = True) -> Column:

@@ -5,23 +5,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.operators.graph import connected_components
+from loam.storage import written
 
 
 def exact_duplicates(chunks: DataFrame, normalized: bool = True) -> DataFrame:
     """(ordinal, chunk_id, hash, group_size, is_keep) of every chunk: equal after white space is normalised.
 
-    Kept is the chunk with the most metadata keys, of equals the first. Only ids, hashes and
-    key counts go through the shuffle.
+    Kept is the chunk with the most metadata keys, of equals the first; ordinals are unique. Ids, hashes and key
+    counts are written once; groups are made with partial aggregation and joined back, so that
+    no task sorts all copies of a text.
     """
-    rows = chunks.select("ordinal", "chunk_id", T.normalized_hash(F.col("content"), normalized).alias("hash"), F.coalesce(F.size("metadata"), F.lit(0)).alias("keys"))
-    group = Window.partitionBy("hash")
-    best = F.row_number().over(group.orderBy(F.desc("keys"), "ordinal"))
-    return rows.select("ordinal", "chunk_id", "hash", F.count(F.lit(1)).over(group).alias("group_size"), (best == 1).alias("is_keep"))
+    rows = written(chunks.select("ordinal", "chunk_id", T.normalized_hash(F.col("content"), normalized).alias("hash"), F.coalesce(F.size("metadata"), F.lit(0)).alias("keys")))
+    groups = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max_by("ordinal", F.struct("keys", -F.col("ordinal"))).alias("first")).where("n > 1")
+    joined = rows.join(groups, "hash", "left")
+    return joined.select("ordinal", "chunk_id", "hash", F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), (F.col("n").isNull() | F.col("ordinal").eqNullSafe(F.col("first"))).alias("is_keep"))
 
 
 def duplicate_groups(chunks: DataFrame, normalized: bool = True) -> DataFrame:

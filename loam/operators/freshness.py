@@ -59,6 +59,17 @@ def freshness_summary(records: DataFrame) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("total"), F.count_if("is_stale").alias("stale_count"), F.count_if("is_expired").alias("expired_count"), F.coalesce(F.avg("freshness_score"), F.lit(0.0)).alias("avg_freshness"))
 
 
+def freshness_text(records: DataFrame, as_of: Column, limit: int = 1000) -> str:
+    """The report as text: the summary, then stale and expired assets by id, at most `limit` of each listed."""
+    top = freshness_summary(records).select("*", F.date_format(as_of, "yyyy-MM-dd HH:mm").alias("at")).first()
+    parts = [f"Freshness Report ({top.at})\nTotal assets: {top.total}\nAverage freshness: {top.avg_freshness:.1%}\nStale: {top.stale_count} | Expired: {top.expired_count}"]
+    for title, test in (("Stale", "is_stale"), ("Expired", "is_expired")):
+        listed = records.where(test).orderBy("asset_id").limit(limit).collect()
+        lines = [f"  - {r.asset_id} (age: {r.age_days:.0f}d" + (f", score: {r.freshness_score:.1%})" if title == "Stale" else ")") for r in listed]
+        parts += ["\n".join([f"\n{title} assets:", *lines])] if lines else []
+    return "\n".join(parts)
+
+
 def stale_only(records: DataFrame) -> DataFrame:
     return records.where("is_stale AND NOT is_expired")
 

@@ -15,20 +15,24 @@ def embed_quality(chunks: DataFrame, as_of: Column, files: DataFrame | None = No
     Scores are rounded to 3 digits; what is quarantined is decided before rounding. Blank
     chunks have score 0, are quarantined and have NULL in the others. Freshness is that of
     the source's file (files: path, mtime), 0.5 where it is missing and NULL without a
-    source. Typed columns, not map entries, so that filters reach the Parquet scan.
+    source. Typed columns, not map entries, so that filters reach the Parquet scan. Each text
+    is measured once, in a projection of its own.
     """
     x = T.text("content")
-    quality, blank = T.chunk_quality(x, config.min_chunk_length), T.is_blank(x)
-    out = chunks.withColumns(
+    measured = chunks.withColumns({"_gibberish": T.gibberish_score(x), "_stripped": F.length(T.strip(x)), "_density": T.char_density(x)})
+    blank, gibberish = F.col("_stripped") == 0, F.col("_gibberish")
+    measured = measured.withColumn("_quality", T.quality_of(blank, gibberish, F.col("_stripped"), F.col("_density"), config.min_chunk_length))
+    quality = F.col("_quality")
+    out = measured.withColumns(
         {
             "quality_score": F.round(quality, 3),
-            "gibberish_score": F.when(~blank, F.round(T.gibberish_score(x), 3)),
+            "gibberish_score": F.when(~blank, F.round(gibberish, 3)),
             "char_count": F.when(~blank, F.length(x)),
             "content_hash": F.when(~blank, F.md5(x.cast("binary"))),
             "is_quarantined": blank | (quality < config.quarantine_below),
             "governance_ts": as_of,
         }
-    )
+    ).drop("_gibberish", "_stripped", "_density", "_quality")
     source = F.col("metadata")["source"]
     if files is None:
         return out.withColumn("freshness_score", F.when(F.coalesce(source, F.lit("")) != "", F.lit(0.5)))

@@ -91,6 +91,27 @@ def test_cycle(workspace):
     assert not workspace.should_run() and workspace.tick() == {"ran": False}
 
 
+def test_approved_decisions(workspace, folder):
+    cached = folder / "knowledge/short_term/_cache_web/w.md"
+    waiting = workspace.agent_cycle(execute=True)["executed"]
+    assert {"decision_type": "delete_expired", "status": "skipped", "affected": 0} in waiting and cached.exists()
+    done = workspace.agent_cycle(execute=True, approved=("delete_expired", "quarantine"))["executed"]
+    assert {"decision_type": "delete_expired", "status": "success", "affected": 1} in done and not cached.exists()
+    assert not workspace.chunks().where("content = ''").count()
+    kept = workspace.state.read("executions")
+    assert kept.count() == len(waiting) + len(done) and kept.where("decision_type = 'delete_expired' AND status = 'success'").count() == 1
+    assert workspace._execute("quarantine", False)["status"] == "skipped"
+    workspace.embed_quality = lambda: 1 / 0
+    assert workspace._execute("enrich_metadata")["status"] == "failed"
+
+
+def test_freshness_report(workspace):
+    text = workspace.freshness_report()
+    assert text.startswith("Freshness Report (2024-03-01 00:00)") and "Expired assets:" in text and "(age: 10d)" in text
+    workspace.save_freshness()
+    assert workspace.state.read("freshness").count() == workspace.records().count()
+
+
 def test_toolkit(workspace):
     kit = Toolkit(workspace)
     assert len(kit.definitions()) == 11
