@@ -9,6 +9,7 @@ least one choice.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -55,8 +56,12 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def blocks_for(n: int, radius: int) -> int:
-    """The fewest blocks whose keys are so wide that n fingerprints seldom share one by chance, or as many as are worth their tables."""
-    return next((b for b in range(radius + 1, 65) if n <= 2 ** (64 * (b - radius) / b) or comb(b, radius) > max(400, n // 1000)), radius + 1)
+    """The fewest blocks whose keys are so wide that n fingerprints seldom share one by chance; if that takes more than 400 tables, the number with the least work."""
+    fits = next((b for b in range(radius + 1, 65) if n <= 2 ** (64 * (b - radius) / b)), 64)
+    if comb(fits, radius) <= 400:
+        return fits
+    # in each table a fingerprint is sorted, which takes as long as 6 comparisons, and compared with half of those that share its key
+    return min(range(radius + 1, fits + 1), key=lambda b: comb(b, radius) * (6 + n / 2 ** (64 * (b - radius) / b) / 2))
 
 
 def table_masks(blocks: int, radius: int) -> list[int]:
@@ -67,34 +72,60 @@ def table_masks(blocks: int, radius: int) -> list[int]:
 
 
 def _within(radius: int, blocks: int):
-    """Pairs of the fingerprints of one group, all alike in block `at`, whose first common block that is."""
+    """Pairs of the fingerprints of one group, all alike in block `at`, whose first common block that is.
+
+    A pair comes from one table only, that of its first common blocks: those before the
+    table's last block that aren't in its key all differ. So nothing has to be kept to tell
+    which pairs were found before, and pairs leave in batches.
+    """
     masks = np.array(table_masks(blocks, radius), np.int64).view(np.uint64)
-    edges = [64 * i // blocks for i in range(blocks)]
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    block = np.array([((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])], np.uint64)
 
-    def pairs(table: pa.Table) -> pa.Table:
-        at = table.column("at")[0].as_py()
+    def near(x: np.ndarray, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some fingerprints, and the bits in which others differ from them."""
         low = np.uint64((1 << edges[at]) - 1)
-        x = table.column("fingerprint").to_numpy().view(np.uint64)
-        out = [np.empty((0, 2), np.int64)]
-        for mask in masks[((masks & low) == 0) & ((masks >> np.uint64(edges[at])) & np.uint64(1) == 1)]:
+        for mask in masks[((masks & low) == 0) & ((masks & block[at]) != 0)]:
+            differ = block[((block & mask) == 0) & (block < mask)]
             key = x & mask
             order = np.argsort(key)
             key, y = key[order], x[order]
             ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(y))
             later = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(y)) - 1
             total = np.concatenate([[0], np.cumsum(later)])
+            shift = np.arange(1, len(y) + 1) - total[:-1]
             first = 0
-            while total[first] < total[-1]:  # some 250,000 pairs at a time
-                end = max(first + 1, int(np.searchsorted(total, total[first] + 250_000, "right")) - 1)
-                left = np.repeat(np.arange(first, end), later[first:end])
-                right = left + 1 + np.arange(len(left)) - (total[left] - total[first])
-                near = np.flatnonzero(np.bitwise_count(y[left] ^ y[right]) <= radius)
-                out.append(np.stack([y[left[near]], y[right[near]]], axis=1).view(np.int64))
+            while total[first] < total[-1]:  # some 50,000 pairs at a time, which stay in the CPU's cache
+                end = max(first + 1, int(np.searchsorted(total, total[first] + 50_000, "right")) - 1)
+                right = np.repeat(shift[first:end], later[first:end])
+                right += np.arange(total[first], total[end])
+                left = np.repeat(y[first:end], later[first:end])
+                bits = y[right]
+                bits ^= left
+                found = np.flatnonzero(np.bitwise_count(bits) <= radius)
+                for m in differ:
+                    found = found[(bits[found] & m) != 0]
+                if len(found):
+                    yield left[found], bits[found]
                 first = end
-        found = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-        differ = (found[:, 0] ^ found[:, 1]).view(np.uint64)
-        new = np.all([differ & np.uint64((1 << b) - (1 << a)) != 0 for a, b in zip(edges[:at], edges[1:])], axis=0) if at else np.ones(len(found), bool)
-        return pa.table({"a": found[new, 0], "b": found[new, 1], "distance": np.bitwise_count(differ[new]).astype(np.int32)})
+
+    def batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        left, bits = (np.concatenate(c) for c in zip(*found))
+        pair = np.sort(np.stack([left, left ^ bits]).view(np.int64), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.bitwise_count(bits).astype(np.int32))], ["a", "b", "distance"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        x = group.column("fingerprint").to_numpy().view(np.uint64)
+        kept, rows = [], 0
+        for found in near(x, group.column("at")[0].as_py()) if len(x) > 1 else ():
+            kept.append(found)
+            rows += len(found[0])
+            if rows >= 10_000:
+                yield batch(kept)
+                kept, rows = [], 0
+        if kept:
+            yield batch(kept)
 
     return pairs
 

@@ -1,9 +1,11 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loam.llm.arrays import ngram_hashes, utf8, word_hashes
-from loam.llm.fingerprints import blocks_for, near_fingerprints, simhash, simhash_neighbours, table_masks
+from loam.llm.fingerprints import _within, blocks_for, near_fingerprints, simhash, simhash_neighbours, table_masks
 from loam.llm.queries import QUERIES
 
 
@@ -77,12 +79,38 @@ def test_wide_radius_against_brute_force(spark):
     assert want and len(rows) == len(want) and {(r.a, r.b): r.distance for r in rows} == want
 
 
+def test_a_dense_group_does_not_gather_its_pairs():
+    """Close fingerprints share most of 1820 keys: each pair comes once, and while they are found no more than a few batches are held."""
+    random = np.random.default_rng(10)
+    flips = np.bitwise_or.reduce(np.int64(1) << random.integers(8, 64, (800, 3)), axis=1)
+    marks = np.unique(random.integers(-(2**63), 2**63, dtype=np.int64) ^ flips)
+    group = pa.RecordBatch.from_arrays([pa.array(marks), pa.array(np.zeros(len(marks), np.int32))], ["fingerprint", "at"])
+    seen = [np.empty(0, np.int64)]
+    tracemalloc.start()
+    try:
+        for out in _within(12, 16)(iter([group.slice(0, 300), group.slice(300)])):
+            at = [np.searchsorted(marks, out.column(c).to_numpy()) for c in (0, 1)]
+            assert out.column("distance").to_pylist() == np.bitwise_count((marks[at[0]] ^ marks[at[1]]).view(np.uint64)).tolist()
+            seen.append((at[0] * len(marks) + at[1]).astype(np.int64))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got = np.sort(np.concatenate(seen))
+    far = np.bitwise_count((marks[:, None] ^ marks[None]).view(np.uint64))
+    assert got.tolist() == np.flatnonzero(np.triu(far <= 12, 1).ravel()).tolist()
+    assert len(got) > 250_000 and peak < 40e6
+
+
 def test_tables_grow_with_the_corpus():
     assert [blocks_for(n, 3) for n in (0, 1000, 250_000, 10**9, 5 * 10**10)] == [4, 4, 5, 6, 7]
     assert all(len(table_masks(b, 3)) == n for b, n in ((4, 4), (5, 10), (6, 20)))
     assert all(bin(m & (2**64 - 1)).count("1") >= 24 for m in table_masks(5, 3))
 
 
+def test_wide_tables_have_the_least_work():
+    assert [blocks_for(n, 12) for n in (0, 500, 235_000, 2_800_000)] == [13, 14, 15, 16]
+
+
 def test_edges(edge, empty):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     assert got(simhash_neighbours(edge)) == brute(rows)
