@@ -52,74 +52,200 @@ def survivors(chunks: DataFrame, normalized: bool = True) -> DataFrame:
 
 
 _PAIRS = "a long, b long, similarity double"
+#: Numbers in a block of vectors; rows in a block and blocks of small tables, so that all cores have work; rows of a matrix product.
+BLOCK_VALUES, LEAST_ROWS, LEAST_BLOCKS, ROWS, COLUMNS = 1 << 22, 4096, 8, 512, 4096
+#: A pair that is joined, made distinct and sent with its vectors takes about as long as so many cosines of a matrix product.
+JOINED_PAIR = 500
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Unit rows; a zero vector stays zero and is similar to nothing."""
-    rows = np.array(column.to_pylist(), np.float64)
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    if (sizes != sizes[:1]).any():
+        raise ValueError("vectors must have one length")
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norm == 0, 1.0, norm)
 
 
-def _block(threshold: float):
-    def pairs(table: pa.Table) -> pa.Table:
-        left, right = (table.filter(pc.equal(table.column("side"), side)) for side in (0, 1))
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
-            x, y = _matrix(left.column("vector")), _matrix(right.column("vector"))
-            for i in range(0, len(a), 512):
-                cos = x[i : i + 512] @ y.T
-                r, c = np.nonzero((cos >= threshold) & (a[i : i + 512, None] != b[None]))
-                out[0].append(np.minimum(a[i + r], b[c]))
-                out[1].append(np.maximum(a[i + r], b[c]))
-                out[2].append(cos[r, c])
-        a, b, s = (np.concatenate([np.empty(0, t), *o]) for o, t in zip(out, (np.int64, np.int64, np.float64)))
-        if len(a):  # within one block each pair comes twice
-            _, at = np.unique(np.stack([a, b]), axis=1, return_index=True)
-            a, b, s = a[at], b[at], s[at]
-        return pa.table({"a": a, "b": b, "similarity": s})
+def _codes(x: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
+    """(row, table, byte): the sides of the hyperplanes on which each row is."""
+    return np.concatenate([np.packbits((x[i : i + LEAST_ROWS] @ planes > 0).reshape(-1, planes.shape[1] // bits, bits), axis=2, bitorder="little") for i in range(0, len(x), LEAST_ROWS)])
+
+
+def _rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0")
+
+
+def _placed(rows: DataFrame, n: int, width: int, rows_per_block: int | None) -> DataFrame:
+    """(task, side, id, vector): a task and a partition for each pair of blocks, sorted; a block with itself has side 0 alone."""
+    blocks = max(1, -(-n // (rows_per_block or max(1, BLOCK_VALUES // width))))
+    if rows_per_block is None:
+        blocks = max(blocks, min(LEAST_BLOCKS, -(-n // LEAST_ROWS)))
+    placed = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    placed = placed.select((high * (high + 1) / 2 + low).cast("int").alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "vector")
+    return placed.repartitionById(min(blocks * (blocks + 1) // 2, 10_000), "task").sortWithinPartitions("task", "side", "id")
+
+
+def _tasks(batches):
+    """(task, the ids and unit rows of its one or two blocks)."""
+
+    def blocks(held):
+        table = pa.Table.from_batches(held)
+        sides = [table.filter(pc.equal(table.column("side"), side)).combine_chunks() for side in (0, 1)]
+        return [(t.column("id").chunk(0).to_numpy(), _matrix(t.column("vector").chunk(0))) for t in sides if t.num_rows]
+
+    held, at = [], None
+    for batch in batches:
+        tasks = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(tasks)) + 1), len(tasks)] if len(tasks) else []
+        for a, b in zip(cuts, cuts[1:]):
+            if held and tasks[a] != at:
+                yield at, blocks(held)
+                held = []
+            at = int(tasks[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield at, blocks(held)
+
+
+def _own(task: int) -> bool:
+    """Whether the task is that of a block with itself."""
+    high = int(((8 * task + 1) ** 0.5 - 1) / 2)
+    return task == high * (high + 3) // 2
+
+
+def _near(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of x and of y whose product is at least so much."""
+    return np.divmod(np.flatnonzero(x @ y.T >= least), max(1, len(y)))
+
+
+def _least(threshold: float, width: int) -> np.float32:
+    """What a cosine in single precision is at least, where it is at least the threshold in double precision."""
+    return np.float32(threshold - (width + 8) * 1.2e-7)
+
+
+def _cosines(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    step = max(1, (1 << 20) // x.shape[1])
+    return np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", x[i[k : k + step]], y[j[k : k + step]]) for k in range(0, len(i), step))])
+
+
+def _cuts(ids: np.ndarray, step: int) -> list[tuple[int, int]]:
+    """Ranges of about step rows of sorted ids that divide no id."""
+    first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+    ends = np.unique([*first[np.minimum(np.searchsorted(first, np.arange(0, len(ids), step)), len(first) - 1)], len(ids)])
+    return [*zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _pairs_of(threshold: float, planes: np.ndarray | None = None, bits: int = 1):
+    """All pairs of each task, some 100,000 at a time; with planes those that share a bucket of a table."""
+
+    def found(a, x, b, y, own):
+        x32, y32, least = x.astype(np.float32), y.astype(np.float32), _least(threshold, x.shape[1])
+        codes = None if planes is None else [_codes(z, planes, bits) for z in ((x,) if own else (x, y))]
+        repeated = any((z[1:] == z[:-1]).any() for z in (a, b))
+        for r0, r1 in _cuts(a, ROWS):
+            for c0, c1 in _cuts(b, COLUMNS):
+                out = []
+                for r in range(r0, r1, ROWS):
+                    for c in range(c0, c1, COLUMNS):
+                        if own and min(c + COLUMNS, c1) <= r:
+                            continue
+                        i, j = _near(x32[r : min(r + ROWS, r1)], y32[c : min(c + COLUMNS, c1)], least)
+                        i, j = i + r, j + c
+                        keep = (a[i] != b[j]) & ((i < j) | (not own))
+                        i, j = i[keep], j[keep]
+                        cos = _cosines(x, y, i, j)
+                        keep = cos >= threshold
+                        if codes is not None and keep.any():
+                            step = max(1, (1 << 22) // codes[0][0].size)
+                            at = np.flatnonzero(keep)
+                            for k in range(0, len(at), step):
+                                some = at[k : k + step]
+                                keep[some] = (codes[0][i[some]] == codes[-1][j[some]]).all(axis=2).any(axis=1)
+                        if keep.any():
+                            p, q = a[i[keep]], b[j[keep]]
+                            out.append((np.minimum(p, q), np.maximum(p, q), cos[keep]))
+                if out:
+                    p, q, cos = (np.concatenate(o) for o in zip(*out))
+                    if repeated:
+                        order = np.lexsort((-cos, q, p))
+                        p, q, cos = p[order], q[order], cos[order]
+                        new = np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
+                        p, q, cos = p[new], q[new], cos[new]
+                    yield p, q, cos
+
+    def pairs(batches):
+        held, n = [], 0
+        for task, blocks in _tasks(batches):
+            if own := _own(task):
+                blocks *= 2
+            if len(blocks) < 2:
+                continue
+            for some in found(*blocks[0], *blocks[1], own):
+                held.append(some)
+                n += len(some[0])
+                if n >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in zip(*held)], ["a", "b", "similarity"])
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in zip(*held)], ["a", "b", "similarity"])
 
     return pairs
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.95, id_col: str = "ordinal", vector_col: str = "embedding", rows_per_block: int = 4096) -> DataFrame:
+def _measured(rows: DataFrame) -> tuple[int, int]:
+    """Number of vectors and the longest one's length."""
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    return n, width or 1
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = 0.95, id_col: str = "ordinal", vector_col: str = "embedding", rows_per_block: int | None = None) -> DataFrame:
     """(a, b, similarity): all pairs a < b whose cosine is at least the threshold. Exact.
 
-    Rows are hashed into blocks of about rows_per_block; each pair of blocks is one matrix
-    product in one task, so that no task and no driver ever holds all vectors. A vector goes
-    to as many tasks as there are blocks: quadratic, as an exact search is. For large tables
-    similar_pairs_lsh looks only at vectors that share a bucket.
+    Rows are hashed into blocks of about rows_per_block, else of some 4 million numbers (65,536 vectors
+    of 64); each pair of blocks is one task, which makes matrix products of parts of them, so that no task and
+    no driver ever holds all vectors or all pairs. Products in single precision leave out what is certainly below the
+    threshold; the rest is computed in double precision. A vector goes to as many tasks as there
+    are blocks: quadratic, as an exact search is. Of rows that repeat an id the most similar count.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0")
-    blocks = max(1, -(-rows.count() // rows_per_block))
-    placed = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    sides = F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(F.col("own") == low, 0).otherwise(1)))
-    placed = placed.select("id", "vector", low.alias("low"), high.alias("high"), F.explode(sides).alias("side"))
-    return placed.groupBy("low", "high").applyInArrow(_block(threshold), _PAIRS)
+    rows = _rows(vectors, id_col, vector_col)
+    return _placed(rows, *_measured(rows), rows_per_block).mapInArrow(_pairs_of(threshold), _PAIRS)
 
 
 def similar_pairs_lsh(vectors: DataFrame, threshold: float = 0.95, bits: int = 16, recall: float = 0.98, id_col: str = "ordinal", vector_col: str = "embedding", seed: int = 5) -> DataFrame:
-    """Like similar_pairs, by random hyperplanes: as many tables of `bits` bits as find a pair at the threshold with the given chance."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0")
-    first = rows.select(F.size("vector").alias("n")).first()
-    if first is None:
-        return rows.sparkSession.createDataFrame([], _PAIRS)
+    """Like similar_pairs, by random hyperplanes: as many tables of `bits` bits as find a pair at the threshold with the given chance.
+
+    Where the buckets are few or uneven, so that joining all pairs of a bucket takes longer than the cosines of
+    all pairs of rows, these are computed as in similar_pairs, and those that share a bucket
+    are kept: the same pairs either way.
+    """
+    rows = _rows(vectors, id_col, vector_col)
+    n, width = _measured(rows)
     alike = (1 - np.arccos(min(1.0, threshold)) / np.pi) ** bits
     tables = int(np.ceil(np.log(1 - recall) / np.log(1 - alike))) if alike < 1 else 1
-    planes = np.random.Generator(np.random.PCG64(seed)).normal(size=(first.n, tables * bits))
+    planes = np.random.Generator(np.random.PCG64(seed)).normal(size=(width, tables * bits))
 
     def keys(batches):
         for batch in batches:
-            x = _matrix(batch.column(1)) if batch.num_rows else np.empty((0, first.n))
-            code = np.packbits((x @ planes > 0).reshape(-1, tables, bits), axis=2, bitorder="little")
-            wide = np.zeros((*code.shape[:2], 8), np.uint8)
-            wide[:, :, : code.shape[2]] = code
-            key = wide.view(np.int64)[:, :, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), pa.array(key.ravel())], ["id", "at", "key"])
+            if batch.num_rows:
+                code = _codes(_matrix(batch.column(1)), planes, bits)
+                wide = np.zeros((*code.shape[:2], 8), np.uint8)
+                wide[:, :, : code.shape[2]] = code
+                key = wide.view(np.int64)[:, :, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(code))), pa.array(key.ravel())], ["id", "at", "key"])
 
     keyed = rows.mapInArrow(keys, "id long, at int, key long")
+    all_pairs = n * (n - 1) / 2
+    if tables / 2**bits * JOINED_PAIR <= 1:  # even buckets have the fewest pairs
+        shared = keyed.groupBy("at", "key").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
+        if shared * JOINED_PAIR <= all_pairs:
+            return _joined_buckets(rows, keyed, threshold)
+    return _placed(rows, n, width, None).mapInArrow(_pairs_of(threshold, planes, bits), _PAIRS)
+
+
+def _joined_buckets(rows: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
     pairs = keyed.alias("x").join(keyed.alias("y"), ["at", "key"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     found = pairs.join(rows.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(rows.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
 
@@ -130,7 +256,7 @@ def similar_pairs_lsh(vectors: DataFrame, threshold: float = 0.95, bits: int = 1
                 keep = cos >= threshold
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(cos[keep])], ["a", "b", "similarity"])
 
-    return found.select("a", "b", "va", "vb").mapInArrow(verify, _PAIRS)
+    return found.select("a", "b", "va", "vb").mapInArrow(verify, _PAIRS).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def semantic_groups(pairs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,63 @@ def test_similar(spark):
     assert gone[40] == "hash" and "semantic" in gone.values() and 0 not in gone
 
 
+def near(n, d, of, seed):
+    """Vectors in groups that are near each other, zeros and a repeated id among them."""
+    random = np.random.default_rng(seed)
+    x = random.normal(size=(of, d))[random.integers(0, of, n)] + 0.4 * random.normal(size=(n, d))
+    x[3] = 0
+    return np.array([*range(n - 1), 7]), x.astype(np.float32)
+
+
+def brute(i, x, threshold):
+    x = x.astype(float)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    cos = (x := x / np.where(norm == 0, 1, norm)) @ x.T
+    pairs = {}
+    for a, b in zip(*np.nonzero(cos >= threshold)):
+        if i[a] < i[b]:
+            pairs[i[a], i[b]] = max(cos[a, b], pairs.get((i[a], i[b]), -2))
+    return pairs
+
+
+def vectors(spark, i, x):
+    return spark.createDataFrame([(int(k), row.tolist()) for k, row in zip(i, x)], "ordinal long, embedding array<float>")
+
+
+@pytest.mark.parametrize("threshold", [-0.1, 0.3, 0.8])
+def test_pairs_of_parts_of_blocks(spark, monkeypatch, threshold):
+    i, x = near(120, 8, 30, 1)
+    want = brute(i, x, threshold)
+    rows = dedup._rows(vectors(spark, i, x), "ordinal", "embedding")
+    monkeypatch.setattr(dedup, "ROWS", 7)
+    monkeypatch.setattr(dedup, "COLUMNS", 11)
+    for block in (40, 1000):
+        batches = dedup._placed(rows, 120, 8, block).orderBy("task", "side", "id").toArrow().to_batches(max_chunksize=13)
+        got = pa.Table.from_batches([*dedup._pairs_of(threshold)(iter(batches))]).to_pylist()
+        assert sorted((r["a"], r["b"]) for r in got) == sorted(want)
+        assert all(abs(r["similarity"] - want[r["a"], r["b"]]) < 1e-12 for r in got)
+
+
+def test_lsh_with_few_buckets_joins_no_pairs(spark, monkeypatch):
+    i, x = near(300, 16, 60, 2)
+    i[-1] = 299
+    df = vectors(spark, i, x)
+    tables = int(np.ceil(np.log(0.1) / np.log(1 - (1 - np.arccos(0.5) / np.pi) ** 4)))
+    side = (x @ np.random.Generator(np.random.PCG64(5)).normal(size=(16, tables * 4)) > 0).reshape(300, tables, 4)
+    want = {(a, b) for a, b in brute(i, x, 0.5) if (side[a] == side[b]).all(axis=1).any()}
+    assert 0.9 * len(brute(i, x, 0.5)) <= len(want) < len(brute(i, x, 0.5))
+    found = dedup.similar_pairs_lsh(df, 0.5, bits=4, recall=0.9)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert set(ids(found, "a", "b")) == want
+    monkeypatch.setattr(dedup, "JOINED_PAIR", 0)
+    joined = dedup.similar_pairs_lsh(df, 0.5, bits=4, recall=0.9)
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString() and set(ids(joined, "a", "b")) == want
+    same = vectors(spark, range(200), np.ones((200, 4)))  # many buckets, all in one
+    monkeypatch.setattr(dedup, "JOINED_PAIR", 100)
+    uneven = dedup.similar_pairs_lsh(same, 0.9999, bits=20)
+    assert "Join" not in uneven._jdf.queryExecution().executedPlan().toString() and uneven.count() == 199 * 100
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")
     got = {r.node: r.component for r in graph.connected_components(edges).collect()}
