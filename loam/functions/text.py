@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,13 +136,27 @@ def xxh64_hex(x: Column) -> Column:
 
 def normalize(x: Column) -> Column:
     """Runs of white space as one blank, none at the ends. Lone blanks, most of them, need no replacing."""
-    return F.trim(F.regexp_replace(text(x), f"[{WS}]{{2,}}|[{WS}&&[^ ]]", " "))
+    return F.trim(F.regexp_replace(text(x), f"(?:[{WS}&&[^ ]]| (?=[{WS}]))[{WS}]*", " "))
 
 
 def normalized_hash(x: Column, normalized: bool = True) -> Column:
     return F.md5((normalize(x) if normalized else text(x)).cast("binary"))
 
 
+#: Longer texts stay in the JVM, as damaged ones do, so that no Arrow batch takes more than its rows times this.
+SHORT_BYTES = 16_384
+
+
+def _hashes(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else hashlib.md5(" ".join(t.split()).encode()).hexdigest() for t in texts.to_pylist()], pa.string())
+
+
+def split_hash(x: Column) -> Column:
+    """normalized_hash(x), of all but long and damaged texts by str.split in Arrow batches, which takes a fifth of the time of the pattern."""
+    short = F.when((F.octet_length(x) <= SHORT_BYTES) & F.is_valid_utf8(x), x)
+    return F.coalesce(F.arrow_udf(_hashes, "string")(short), normalized_hash(x))
+
+
 def short_sha256(x: Column) -> Column:
     return F.substring(F.sha2(text(x).cast("binary"), 256), 1, 16)
 

@@ -20,7 +20,8 @@ def exact_duplicates(chunks: DataFrame, normalized: bool = True) -> DataFrame:
     counts are written once; groups are made with partial aggregation and joined back, so that
     no task sorts all copies of a text.
     """
-    rows = written(chunks.select("ordinal", "chunk_id", T.normalized_hash(F.col("content"), normalized).alias("hash"), F.coalesce(F.size("metadata"), F.lit(0)).alias("keys")))
+    content = F.col("content")
+    rows = written(chunks.select("ordinal", "chunk_id", (T.split_hash(content) if normalized else T.normalized_hash(content, False)).alias("hash"), F.coalesce(F.size("metadata"), F.lit(0)).alias("keys")))
     groups = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max_by("ordinal", F.struct("keys", -F.col("ordinal"))).alias("first")).where("n > 1")
     joined = rows.join(groups, "hash", "left")
     return joined.select("ordinal", "chunk_id", "hash", F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), (F.col("n").isNull() | F.col("ordinal").eqNullSafe(F.col("first"))).alias("is_keep"))
@@ -51,7 +52,7 @@ def survivors(chunks: DataFrame, normalized: bool = True) -> DataFrame:
     return chunks.join(gone, "ordinal", "left_anti")
 
 
-_PAIRS = "a long, b long, similarity double"
+_PAIRS, _LINKS = "a long, b long, similarity double", "a long, b long"
 #: Numbers in a block of vectors; rows in a block and blocks of small tables, so that all cores have work; rows of a matrix product.
 BLOCK_VALUES, LEAST_ROWS, LEAST_BLOCKS, ROWS, COLUMNS = 1 << 22, 4096, 8, 512, 4096
 #: A pair that is joined, made distinct and sent with its vectors takes about as long as so many cosines of a matrix product.
@@ -195,6 +196,59 @@ def _pairs_of(threshold: float, planes: np.ndarray | None = None, bits: int = 1)
     return pairs
 
 
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels after each i is joined with its j. The label of a group is its lowest row."""
+    while (apart := label[i] != label[j]).any():
+        i, j = i[apart], j[apart]
+        top = np.arange(len(label))
+        np.minimum.at(top, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
+        while (top[top] != top).any():
+            top = top[top]
+        label = top[label]
+    return label
+
+
+def _links_of(threshold: float):
+    """Fewer pairs than rows of each task that connect what all its pairs connect.
+
+    Rows that are in the task's largest group already aren't compared with each other.
+    """
+
+    def joined(x, y, own):
+        x32, y32, least = x.astype(np.float32), y.astype(np.float32), _least(threshold, x.shape[1])
+        beyond = 0 if own else len(x)
+        label = np.arange(beyond + len(y))
+        for r in range(0, len(x), ROWS):
+            largest = np.bincount(label).argmax()
+            for c in range(r if own else 0, len(y), COLUMNS):
+                rows, columns = np.arange(r, min(r + ROWS, len(x))), np.arange(c, min(c + COLUMNS, len(y)))
+                for out in (True, False):
+                    some = rows[(label[rows] != largest) == out]
+                    others = columns if out else columns[label[columns + beyond] != largest]
+                    if len(some) and len(others):
+                        i, j = _near(x32[some], y32[others], least)
+                        i, j = some[i], others[j]
+                        apart = label[i] != label[j + beyond]
+                        i, j = i[apart], j[apart]
+                        near = _cosines(x, y, i, j) >= threshold
+                        label = _joined(label, i[near], j[near] + beyond)
+                        largest = label[largest]
+        return label
+
+    def links(batches):
+        for task, blocks in _tasks(batches):
+            if own := _own(task):
+                blocks *= 2
+            if len(blocks) == 2:
+                label = joined(blocks[0][1], blocks[1][1], own)
+                ids = blocks[0][0] if own else np.concatenate([blocks[0][0], blocks[1][0]])
+                a, b = ids, ids[label]
+                keep = a != b
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
+
+    return links
+
+
 def _measured(rows: DataFrame) -> tuple[int, int]:
     """Number of vectors and the longest one's length."""
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
@@ -214,6 +268,16 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.95, id_col: str = "or
     return _placed(rows, *_measured(rows), rows_per_block).mapInArrow(_pairs_of(threshold), _PAIRS)
 
 
+def similar_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "ordinal", vector_col: str = "embedding", rows_per_block: int | None = None) -> DataFrame:
+    """(a, b), a < b: links with the same connected components as similar_pairs, some of which are no pairs themselves. Exact.
+
+    Each task gives fewer links than it has vectors, where pairs grow with their square, and leaves out
+    comparisons within a group that is connected already.
+    """
+    rows = _rows(vectors, id_col, vector_col)
+    return _placed(rows, *_measured(rows), rows_per_block).mapInArrow(_links_of(threshold), _LINKS)
+
+
 def similar_pairs_lsh(vectors: DataFrame, threshold: float = 0.95, bits: int = 16, recall: float = 0.98, id_col: str = "ordinal", vector_col: str = "embedding", seed: int = 5) -> DataFrame:
     """Like similar_pairs, by random hyperplanes: as many tables of `bits` bits as find a pair at the threshold with the given chance.
 
@@ -260,13 +324,18 @@ def _joined_buckets(rows: DataFrame, keyed: DataFrame, threshold: float) -> Data
 
 
 def semantic_groups(pairs: DataFrame) -> DataFrame:
-    """(group, ordinal, is_keep): connected components of similar pairs; the lowest ordinal names and represents its group."""
+    """(group, ordinal, is_keep): connected components of similar pairs or links; the lowest ordinal names and represents its group."""
     return connected_components(pairs).select(F.col("component").alias("group"), F.col("node").alias("ordinal"), (F.col("node") == F.col("component")).alias("is_keep"))
 
 
-def two_phase(chunks: DataFrame, threshold: float = 0.95, normalized: bool = True) -> DataFrame:
-    """(ordinal, removed_by) of every chunk that goes: 'hash' for exact duplicates, then 'semantic' among those left."""
-    exact = exact_duplicates(chunks, normalized).where("NOT is_keep").select("ordinal", F.lit("hash").alias("removed_by"))
-    left = chunks.join(exact.select("ordinal"), "ordinal", "left_anti")
-    semantic = semantic_groups(similar_pairs(left, threshold)).where("NOT is_keep").select("ordinal", F.lit("semantic").alias("removed_by"))
-    return exact.unionByName(semantic)
+def two_phase(chunks: DataFrame, threshold: float = 0.95, normalized: bool = True, vectors: DataFrame | None = None) -> DataFrame:
+    """(ordinal, removed_by) of every chunk that goes: 'hash' for exact duplicates, then 'semantic' among those left.
+
+    vectors: (ordinal, embedding) where they are a table of their own, so that texts needn't be joined with
+    them; those of no chunk count for nothing. Else the chunks have them.
+    """
+    gone = written(exact_duplicates(chunks, normalized).where("NOT is_keep").select("ordinal"))
+    left = chunks.select("ordinal", "embedding") if vectors is None else vectors.select("ordinal", "embedding").join(chunks.select("ordinal"), "ordinal", "left_semi")
+    left = written(left.where("embedding IS NOT NULL").join(gone, "ordinal", "left_anti"))
+    semantic = semantic_groups(similar_links(left, threshold)).where("NOT is_keep").select("ordinal", F.lit("semantic").alias("removed_by"))
+    return gone.withColumn("removed_by", F.lit("hash")).unionByName(semantic)

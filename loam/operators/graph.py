@@ -12,9 +12,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component): every node of the edges and the lowest node it is connected with.
 
     Each round takes the lowest label of the neighbours and then that label's own label, so
-    that long chains shorten by half.
+    that long chains shorten by half. The edges are computed once.
     """
-    both = written(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))))
+    ways = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
+    both = written(edges.select(F.inline(ways)))
     labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("low"))

@@ -219,7 +219,7 @@ def semantic_pairs(spark, sf_dir):
 
 @query
 def semantic_groups(spark, sf_dir):
-    return dedup.semantic_groups(dedup.similar_pairs(_vectors(spark, sf_dir), 0.4))
+    return dedup.semantic_groups(dedup.similar_links(_vectors(spark, sf_dir), 0.4))
 
 
 @query
@@ -229,8 +229,7 @@ def semantic_pairs_lsh(spark, sf_dir):
 
 @query
 def two_phase_dedup(spark, sf_dir):
-    c = chunks(spark, sf_dir).join(_vectors(spark, sf_dir).withColumnRenamed("ordinal", "vec"), F.col("ordinal") == F.col("vec"), "left").drop("vec")
-    return dedup.two_phase(c, 0.4)
+    return dedup.two_phase(chunks(spark, sf_dir), 0.4, vectors=_vectors(spark, sf_dir))
 
 
 # --- validation ---
@@ -374,7 +373,7 @@ def web_cache_lineage(spark, sf_dir):
 
 @query
 def components(spark, sf_dir):
-    return graph.connected_components(dedup.similar_pairs(_vectors(spark, sf_dir), 0.35)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return graph.connected_components(dedup.similar_links(_vectors(spark, sf_dir), 0.35)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- health, alerts, plans ---

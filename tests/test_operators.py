@@ -159,6 +159,51 @@ def test_lsh_with_few_buckets_joins_no_pairs(spark, monkeypatch):
     assert "Join" not in uneven._jdf.queryExecution().executedPlan().toString() and uneven.count() == 199 * 100
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.8, 0.95])
+def test_links_connect_what_pairs_connect(spark, monkeypatch, threshold):
+    i, x = near(200, 6, 40, 3)
+    df = vectors(spark, i, x)
+
+    def groups(edges):
+        return {r.node: r.component for r in graph.connected_components(edges).collect()}
+
+    want = groups(spark.createDataFrame([(int(a), int(b)) for a, b in brute(i, x, threshold)], "a long, b long"))
+    assert len(set(want.values())) > 1 or threshold < 0.6
+    monkeypatch.setattr(dedup, "ROWS", 9)
+    monkeypatch.setattr(dedup, "COLUMNS", 14)
+    for block in (70, 1000):
+        batches = dedup._placed(dedup._rows(df, "ordinal", "embedding"), 200, 6, block).orderBy("task", "side", "id").toArrow().to_batches(max_chunksize=23)
+        links = pa.Table.from_batches([*dedup._links_of(threshold)(iter(batches))])
+        assert groups(spark.createDataFrame(links.to_pylist(), "a long, b long")) == want
+        assert groups(dedup.similar_links(df, threshold, rows_per_block=block)) == want
+
+
+def test_links_grow_with_vectors_not_with_pairs(spark):
+    df = vectors(spark, range(300), np.ones((300, 4)))
+    assert dedup.similar_pairs(df, 0.9).count() == 300 * 299 // 2 and dedup.similar_links(df, 0.9).count() == 299
+    assert dedup.similar_links(df.where("false"), 0.9).count() == 0
+
+
+def test_components_compute_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long").mapInArrow(count, "a long, b long")
+    assert graph.connected_components(edges).count() == 21 and seen.value == 20
+
+
+def test_two_phase_with_vectors_of_their_own(spark):
+    c = chunks_from_lists(spark, ["a", "b", "c", "a", "d"])
+    v = vectors(spark, [0, 1, 3, 4, 9], np.array([[1.0, 0.0], [0.0, 1.0], [0.0, 1.0], [0.1, 1.0], [0.0, 1.0]]))
+    want = [(3, "hash"), (4, "semantic")]
+    assert sorted(ids(dedup.two_phase(c, 0.9, vectors=v), "ordinal", "removed_by")) == want
+    assert sorted(ids(dedup.two_phase(c.join(v, "ordinal", "left"), 0.9), "ordinal", "removed_by")) == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")
     got = {r.node: r.component for r in graph.connected_components(edges).collect()}

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 import unicodedata
@@ -62,6 +63,15 @@ def test_exact(spark, column, plain):
     assert run(spark, column) == [plain(t) for t in TEXTS]
 
 
+def test_hashes_of_short_and_long_texts_are_the_same(spark):
+    rows = [*TEXTS, " \t a  b\n" * 5000, "\u3000 x" * 9000, " ", " \u00a0", "a \u2003b"]
+    want = [hashlib.md5(" ".join(t.split()).encode()).hexdigest() for t in rows]
+    assert run(spark, T.split_hash, rows) == want == run(spark, T.normalized_hash, rows)
+    assert run(spark, T.split_hash, [None, "a"])[0] == hashlib.md5(b"").hexdigest()
+    damaged = spark.sql("SELECT i, cast(x AS string) AS x FROM VALUES (0, X'61FF2062'), (1, X'E28061'), (2, X'20F09F9820'), (3, X'EDA08061') AS t(i, x)")
+    assert damaged.where(T.split_hash(F.col("x")) == T.normalized_hash(F.col("x"))).count() == 4
+
+
 @pytest.mark.parametrize(
     ("column", "plain"),
     [
